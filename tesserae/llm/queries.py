@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, tokens, urls
+from . import packing, pii, quality, suffixes, tokens, urls
 
 BPE = "byte_bpe_50k.json"
 #: (verdict, host, path)
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document, which is encoded once as a whole; a token counts where its first character is."""
     return tokens.section_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
@@ -51,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_bpe, op4_packing, op7_quality_rules, op8_url_filters, op10_pii)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_packing, op7_quality_rules, op8_url_filters, op10_pii)}
 
 
 _FITS = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
