@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pii, quality, suffixes, tokens, urls
+from . import katz, neardup, packing, pii, quality, suffixes, tokens, urls
 
 BPE = "byte_bpe_50k.json"
 #: (verdict, host, path)
@@ -54,12 +54,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, pages.select("url").where(bare.isin(*LISTED_HOSTS)))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_packing, op5_minhash_dedup, op7_quality_rules, op8_url_filters, op10_pii)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_packing, op5_minhash_dedup, op7_quality_rules, op8_url_filters, op9_lm_scores, op10_pii)}
 
 
 _FITS = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))) + " END"

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kit import Rolling, as_long, bound_batches, flat, pieces, shuffle_parts
+from .packed import cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
 WIDTH = 50
@@ -211,33 +212,6 @@ class Block:
         return begin, last + width, least[begin], rolling.of(begin, last + width)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Which of `parts` equal ranges of 64-bit values each key is in."""
-    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-
-
-def _cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, from, to) of runs in a sorted array."""
-    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-        yield int(part[a]), int(a), int(b)
-
-
-def _rows(names: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"part": pa.int64(), "block": pa.int64(), "payload": pa.binary()}
-    fields = names.split()
-    return pa.table([pa.array([r[i] for r in rows], kinds[f]) for i, f in enumerate(fields)], names=fields)
-
-
-def _zip(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unzip(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True) if len(packed) > 8 else b""
-
-
 def _anchors(width: int, parts: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table, width)
@@ -246,8 +220,8 @@ def _anchors(width: int, parts: int) -> Callable:
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         keys = keys[first]
-        rows = [(p, key[0].as_py(), keys[a:b].astype("<u8").tobytes() + np.packbits(many[a:b]).tobytes() + (b - a).to_bytes(8, "little")) for p, a, b in _cut(_part(keys, parts))]
-        return _rows("part block payload", rows)
+        rows = [(p, key[0].as_py(), keys[a:b].astype("<u8").tobytes() + np.packbits(many[a:b]).tobytes() + (b - a).to_bytes(8, "little")) for p, a, b in cut(part_of(keys, parts))]
+        return rows_of("part block payload", rows)
 
     return run
 
@@ -270,7 +244,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     for block, n in zip(table.column("block").to_pylist(), counts, strict=True):
         rows.append((block, key[0].as_py(), np.packbits(many[at : at + n]).tobytes()))
         at += n
-    return _rows("block part payload", rows)
+    return rows_of("block part payload", rows)
 
 
 class Segments:
@@ -279,16 +253,16 @@ class Segments:
     def __init__(self, block: Block, shared: pa.Table, parts: int):
         keys = np.unique(block.key)
         bits = np.zeros(len(keys), bool)
-        part = _part(keys, parts)
+        part = part_of(keys, parts)
         said = dict(zip(shared.column("part").to_pylist(), shared.column("payload").to_pylist(), strict=True))
-        for p, a, b in _cut(part):
+        for p, a, b in cut(part):
             if p in said:
                 bits[a:b] = np.unpackbits(np.frombuffer(said[p], np.uint8), count=b - a)
         self.rows = np.flatnonzero(bits[np.searchsorted(keys, block.key)]) if len(keys) else np.zeros(0, np.int64)
         size = block.end[self.rows] - block.start[self.rows]
         mark = block.mark[self.rows] ^ size.astype(U64)
         _, first, self.of = np.unique(mark, return_index=True, return_inverse=True)
-        part = _part(block.key[self.rows[first]], parts)
+        part = part_of(block.key[self.rows[first]], parts)
         order = np.argsort(part, kind="stable")  # distinct strings, bucket by bucket
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -297,31 +271,18 @@ class Segments:
         self.size = block.end[self.first] - block.start[self.first]
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], ..., start[0] + size[0] - 1, start[1], ..."""
-    total = int(size.sum())
-    out = np.ones(total, np.int64)
-    if total:
-        at = np.concatenate(([0], np.cumsum(size)[:-1]))
-        some = size > 0
-        out[0] = start[some][0]
-        out[at[some][1:]] = start[some][1:] - (start[some][:-1] + size[some][:-1] - 1)
-        np.cumsum(out, out=out)
-    return out
-
-
 def _segments(width: int, parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _rows("part block payload", [])
+            return rows_of("part block payload", [])
         block = Block(docs, width)
         segments = Segments(block, shared, parts)
         rows = []
-        for p, a, b in _cut(segments.part):
+        for p, a, b in cut(segments.part):
             start, size = block.start[segments.first[a:b]], segments.size[a:b]
-            data = block.data[_spread(start, size)]
-            rows.append((p, key[0].as_py(), (b - a).to_bytes(8, "little") + _zip(size.astype("<i8"), block.ids[block.doc[segments.first[a:b]]].astype("<i8"), data)))
-        return _rows("part block payload", rows)
+            data = block.data[spread(start, size)]
+            rows.append((p, key[0].as_py(), (b - a).to_bytes(8, "little") + packed(size.astype("<i8"), block.ids[block.doc[segments.first[a:b]]].astype("<i8"), data)))
+        return rows_of("part block payload", rows)
 
     return run
 
@@ -333,7 +294,7 @@ def first_holders(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, width: i
     ends = np.cumsum(sizes)
     windows = sizes - width + 1
     wanted = np.zeros(len(text), bool)
-    spots = _spread(ends - sizes, windows)
+    spots = spread(ends - sizes, windows)
     wanted[spots] = True
     order = suffix_order(text, wanted, width)
     prefix = common_prefixes(text, order, width)
@@ -352,7 +313,7 @@ def _holders(width: int, most_bytes: int = 24 << 20) -> Callable:
         sent = []
         for payload in table.column("payload").to_pylist():
             n = int.from_bytes(payload[:8], "little")
-            raw = _unzip(payload[8:])
+            raw = unpacked(payload[8:])
             sizes, ids = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n)
             ends = (16 * n + np.cumsum(sizes)).tolist()
             at, mine = 16 * n, []
@@ -372,8 +333,8 @@ def _holders(width: int, most_bytes: int = 24 << 20) -> Callable:
         starts = np.cumsum(windows) - windows
         rows = []
         for block, mine in zip(table.column("block").to_pylist(), sent, strict=True):
-            rows.append((block, key[0].as_py(), _zip(holders[_spread(starts[mine], windows[mine])].astype("<i8"))))
-        return _rows("block part payload", rows)
+            rows.append((block, key[0].as_py(), packed(holders[spread(starts[mine], windows[mine])].astype("<i8"))))
+        return rows_of("block part payload", rows)
 
     return run
 
@@ -383,15 +344,15 @@ def _covered(block: Block, segments: Segments, found: pa.Table) -> np.ndarray:
     said = dict(zip(found.column("part").to_pylist(), found.column("payload").to_pylist(), strict=True))
     width = block.width
     windows = segments.size - width + 1
-    holders = np.concatenate([np.frombuffer(_unzip(said[p]), "<i8") for p, _, _ in _cut(segments.part)]) if len(segments.part) else np.zeros(0, np.int64)
+    holders = np.concatenate([np.frombuffer(unpacked(said[p]), "<i8") for p, _, _ in cut(segments.part)]) if len(segments.part) else np.zeros(0, np.int64)
     starts = np.cumsum(windows) - windows
     cover = np.zeros(len(block.data) + 1, np.int32)
     step = 200_000
     for a in range(0, len(segments.rows), step):
         rows, of = segments.rows[a : a + step], segments.of[a : a + step]
         size = windows[of]
-        gone = holders[_spread(starts[of], size)] < np.repeat(block.ids[block.doc[rows]], size)
-        at = _spread(block.start[rows], size)[gone]
+        gone = holders[spread(starts[of], size)] < np.repeat(block.ids[block.doc[rows]], size)
+        at = spread(block.start[rows], size)[gone]
         if len(at):  # runs of neighbouring windows count as one
             edge = np.flatnonzero(np.diff(at) != 1)
             np.add.at(cover, at[np.concatenate(([0], edge + 1))], 1)
@@ -435,17 +396,17 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         edge[offsets] = True
         opens = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate(([False], gone[:-1]))))
         closes = np.flatnonzero(gone & (edge[1:] | ~np.concatenate((gone[1:], [False])))) + 1
-        cut = np.searchsorted(opens, offsets)
+        place = np.searchsorted(opens, offsets)
         whole, keep = block.data, ~gone
         sha, starts, ends = [], [], []
         for i in range(n):
-            a, b, x, y = offsets[i], offsets[i + 1], cut[i], cut[i + 1]
+            a, b, x, y = offsets[i], offsets[i + 1], place[i], place[i + 1]
             sha.append(hashlib.sha256(whole[a:b] if x == y else whole[a:b][keep[a:b]]).hexdigest())
             starts.append(opens[x:y] - a)
             ends.append(closes[x:y] - a)
         ids = mine.column("__id").combine_chunks().take(pa.array(block.order)) if n else mine.column("__id")
         lists = pa.list_(pa.int64())
-        return pa.table([ids, as_long(np.diff(offsets)), as_long(np.diff(before[offsets])), as_long(np.diff(cut)), pa.array(sha, pa.string()), pa.array(starts, lists), pa.array(ends, lists)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
+        return pa.table([ids, as_long(np.diff(offsets)), as_long(np.diff(before[offsets])), as_long(np.diff(place)), pa.array(sha, pa.string()), pa.array(starts, lists), pa.array(ends, lists)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     return _removed(docs, doc_id, text, width, block_bytes, finish, schema).withColumnRenamed("id", doc_id)
