@@ -30,14 +30,17 @@ def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and cut its lineage.
-
-    The folder is spark.checkpoint.dir; one of our own is set only where the session names none.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir, or one of our own where the session names none."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a result to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
