@@ -148,7 +148,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id and kept (true for the smallest id of a component).
 
     Similar are documents with 100 * common >= percent * united shingles of `size` words.
@@ -158,18 +158,21 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     some = rows.where("n > 0 AND id IS NOT NULL")
     # Classes of equal sets, named after their smallest id.
     classes = settle(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    heads = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    bucket = heads.select("id", "n", F.posexplode("keys").alias("band", "key"), "keys")
-    seconds = [F.col("keys")[(F.col("band") + step) % BANDS].alias(f"k{i}") for i, step in enumerate(OFFSETS)]
+    heads = settle(some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "keys"))
+    # Narrow rows go through the two large shuffles; what else a member needs joins those few that share a bucket.
+    bucket = heads.select("id", F.posexplode("keys").alias("band", "key")).select("key", "id", F.col("band").cast("byte").alias("band"))
     shared = bucket.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    # Only buckets of two or more classes matter from here on.
-    members = settle(bucket.join(shared, "key").select("key", "id", "n", "a", *seconds))
+    seconds = [F.col("keys")[(F.col("band") + step) % BANDS].alias(f"k{i}") for i, step in enumerate(OFFSETS)]
+    members = settle(bucket.join(shared, "key").join(heads, "id").select("key", "id", "n", "a", *seconds))
     sizes = members.select(F.col("a"), F.col("id").alias("b"), F.col("n").alias("nb")).where("a < b").distinct()
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  no larger overlap is possible
     heads_n = heads.select(F.col("id").alias("a"), F.col("n").alias("na"))
     pairs = settle(sizes.join(heads_n, "a").where(near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
-    wanted = members.select("id").distinct()
-    sets = settle(_sets(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi"), size))
+    wanted = settle(members.select("id").distinct())
+    # The few ids go to the texts while they are few enough, else both are shuffled.
+    few = wanted.count() * 8 <= broadcast_bytes
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    sets = settle(_sets(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), size))
     links = settle(_confirm(pairs, sets, percent))
     tested = pairs
     for second in (f"k{i}" for i in range(len(OFFSETS))):
