@@ -134,9 +134,8 @@ def canonical_unit(unit: Column, bands: Column) -> Column:
 
 
 def human(n: Column) -> Column:
-    """Bytes for people: whole below 1024, else one decimal and a unit."""
-    step = lambda k: F.lit(1024.0**k)
-    sized = lambda k, u: F.format_string(f"%.1f {u}", n / step(k))
+    """Bytes for people: whole below 1024, else one decimal (ties to even) and a unit."""
+    sized = lambda k, u: F.format_string(f"%.1f {u}", F.bround(n / F.lit(1024.0**k), 1))
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, sized(1, "KB")).when(n < 1024**3, sized(2, "MB")).when(n < 1024**4, sized(3, "GB")).otherwise(sized(4, "TB"))
 
 
