@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -44,6 +46,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Hand memory that a Python worker has freed back to the system; done between groups of rows."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -61,10 +70,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(step: int, n: int) -> np.ndarray:
     have = _POWERS.get(step)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), step, U64)
+        have = np.full(max(n, (1 << 20) + 1), step, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 22:
+        if n <= 1 << 21:
             _POWERS[step] = have
     return have[:n]
 
@@ -110,8 +119,8 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about `most` bytes together (a longer text stands alone)."""
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of at most `most` bytes together (a longer text stands alone)."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)

@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, as_long, bound_batches, flat, pieces, shuffle_parts
+from .kit import Rolling, as_long, bound_batches, flat, mix, pieces, shuffle_parts, trim
 from .packed import cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
 WIDTH = 50
+#: A bucket sorts this many ranges of anchors one after the other.
+RANGES = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -90,20 +92,21 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     n = len(text)
     # A suffix is small if it is less than its successor: its byte is below the next differing byte.
     differs = np.flatnonzero(text[:-1] != text[1:])
-    next_diff = np.full(n, n - 1)
+    every = np.arange(n, dtype=np.int32)
+    next_diff = np.full(n, n - 1, np.int32)
     next_diff[differs] = differs
     next_diff = np.minimum.accumulate(next_diff[::-1])[::-1]
     small = text[next_diff] < text[np.minimum(next_diff + 1, n - 1)]
     small[next_diff >= n - 1] = True
     # Inducing a suffix needs its successors down to the next small one.
-    next_small = np.where(small, np.arange(n), n - 1)
+    next_small = np.where(small, every, np.int32(n - 1))
     next_small = np.minimum.accumulate(next_small[::-1])[::-1]
-    reach = np.zeros(n, np.int64)
-    spots = np.flatnonzero(wanted)
+    reach = np.zeros(n, np.int32)
+    spots = np.flatnonzero(wanted).astype(np.int32)
     reach[spots] = next_small[spots]
-    need = np.maximum.accumulate(reach) >= np.arange(n)
-    need &= np.maximum.accumulate(np.where(wanted, np.arange(n), -1)) >= 0
-    sorted_small = _direct_sort(text, np.flatnonzero(need & small), depth)
+    need = np.maximum.accumulate(reach) >= every
+    need &= every >= (spots[0] if len(spots) else n)
+    sorted_small = _direct_sort(text, np.flatnonzero(need & small).astype(np.int32), depth)
     large = need & ~small
     edges = np.searchsorted(text[sorted_small], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -209,11 +212,13 @@ class Block:
         stop = np.ones(windows, bool)
         stop[:-1] = new[1:] | ~inside[1:]
         last = np.flatnonzero(stop & inside)
-        return begin, last + width, least[begin], rolling.of(begin, last + width)
+        # The least of many hashes is small; scrambled once more, anchors spread evenly over parts.
+        return begin, last + width, mix(least[begin]), rolling.of(begin, last + width)
 
 
 def _anchors(width: int, parts: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         block = Block(table, width)
         order = np.argsort(block.key)
         keys, doc = block.key[order], block.ids[block.doc[order]]
@@ -262,17 +267,18 @@ class Segments:
         size = block.end[self.rows] - block.start[self.rows]
         mark = block.mark[self.rows] ^ size.astype(U64)
         _, first, self.of = np.unique(mark, return_index=True, return_inverse=True)
-        part = part_of(block.key[self.rows[first]], parts)
-        order = np.argsort(part, kind="stable")  # distinct strings, bucket by bucket
+        fine = part_of(block.key[self.rows[first]], parts * RANGES)
+        order = np.argsort(fine, kind="stable")  # distinct strings, bucket by bucket and range by range
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.of = place[self.of]
-        self.first, self.part = self.rows[first][order], part[order]
+        self.first, self.part, self.range = self.rows[first][order], fine[order] // RANGES, fine[order] % RANGES
         self.size = block.end[self.first] - block.start[self.first]
 
 
 def _segments(width: int, parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        trim()
         if not docs.num_rows:
             return rows_of("part block payload", [])
         block = Block(docs, width)
@@ -281,7 +287,8 @@ def _segments(width: int, parts: int) -> Callable:
         for p, a, b in cut(segments.part):
             start, size = block.start[segments.first[a:b]], segments.size[a:b]
             data = block.data[spread(start, size)]
-            rows.append((p, key[0].as_py(), (b - a).to_bytes(8, "little") + packed(size.astype("<i8"), block.ids[block.doc[segments.first[a:b]]].astype("<i8"), data)))
+            per = np.bincount(segments.range[a:b], minlength=RANGES)
+            rows.append((p, key[0].as_py(), packed(per.astype("<i8"), size.astype("<i8"), block.ids[block.doc[segments.first[a:b]]].astype("<i8"), data)))
         return rows_of("part block payload", rows)
 
     return run
@@ -306,35 +313,47 @@ def first_holders(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, width: i
     return owner[spots]
 
 
-def _holders(width: int, most_bytes: int = 24 << 20) -> Callable:
+def _distinct(sent: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sizes, least ids and bytes of the distinct strings that blocks sent, and which of them each block's are."""
+    distinct: dict[bytes, int] = {}
+    least: list[int] = []
+    mine = []
+    for sizes, ids, raw in sent:
+        at, own = 0, []
+        for end, i in zip(np.cumsum(sizes).tolist(), ids.tolist(), strict=True):
+            string = raw[at:end]
+            at = end
+            k = distinct.setdefault(string, len(least))
+            if k == len(least):
+                least.append(i)
+            elif i < least[k]:
+                least[k] = i
+            own.append(k)
+        mine.append(np.array(own, np.int64))
+    return np.fromiter(map(len, distinct), np.int64, len(distinct)), np.array(least, np.int64), np.frombuffer(b"".join(distinct), np.uint8), mine
+
+
+def _holders(width: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        distinct: dict[bytes, int] = {}
-        least: list[int] = []
-        sent = []
+        trim()
+        sent, found = [], []
         for payload in table.column("payload").to_pylist():
-            n = int.from_bytes(payload[:8], "little")
-            raw = unpacked(payload[8:])
-            sizes, ids = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n)
-            ends = (16 * n + np.cumsum(sizes)).tolist()
-            at, mine = 16 * n, []
-            for end, i in zip(ends, ids.tolist(), strict=True):
-                string = raw[at:end]
-                at = end
-                k = distinct.setdefault(string, len(least))
-                if k == len(least):
-                    least.append(i)
-                elif i < least[k]:
-                    least[k] = i
-                mine.append(k)
-            sent.append(np.array(mine, np.int64))
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        holders = first_holders(sizes, np.array(least, np.int64), np.frombuffer(b"".join(distinct), np.uint8), width)
-        windows = sizes - width + 1
-        starts = np.cumsum(windows) - windows
-        rows = []
-        for block, mine in zip(table.column("block").to_pylist(), sent, strict=True):
-            rows.append((block, key[0].as_py(), packed(holders[spread(starts[mine], windows[mine])].astype("<i8"))))
-        return rows_of("block part payload", rows)
+            raw = unpacked(payload)
+            per = np.frombuffer(raw, "<i8", RANGES)
+            n = int(per.sum())
+            sizes, ids = np.frombuffer(raw, "<i8", n, 8 * RANGES), np.frombuffer(raw, "<i8", n, 8 * (RANGES + n))
+            rows = np.concatenate(([0], np.cumsum(per)))
+            at = np.concatenate(([0], np.cumsum(sizes)))[rows] + 8 * (RANGES + 2 * n)
+            sent.append((sizes, ids, raw, rows, at))
+            found.append([])
+        for r in range(RANGES):
+            sizes, least, data, mine = _distinct([(s[x[r] : x[r + 1]], i[x[r] : x[r + 1]], raw[at[r] : at[r + 1]]) for s, i, raw, x, at in sent])
+            holders = first_holders(sizes, least, data, width)
+            windows = sizes - width + 1
+            starts = np.cumsum(windows) - windows
+            for own, out in zip(mine, found, strict=True):
+                out.append(holders[spread(starts[own], windows[own])].astype("<i8"))
+        return rows_of("block part payload", [(block, key[0].as_py(), packed(*out)) for block, out in zip(table.column("block").to_pylist(), found, strict=True)])
 
     return run
 
@@ -347,7 +366,7 @@ def _covered(block: Block, segments: Segments, found: pa.Table) -> np.ndarray:
     holders = np.concatenate([np.frombuffer(unpacked(said[p]), "<i8") for p, _, _ in cut(segments.part)]) if len(segments.part) else np.zeros(0, np.int64)
     starts = np.cumsum(windows) - windows
     cover = np.zeros(len(block.data) + 1, np.int32)
-    step = 200_000
+    step = 50_000
     for a in range(0, len(segments.rows), step):
         rows, of = segments.rows[a : a + step], segments.of[a : a + step]
         size = windows[of]
@@ -357,7 +376,8 @@ def _covered(block: Block, segments: Segments, found: pa.Table) -> np.ndarray:
             edge = np.flatnonzero(np.diff(at) != 1)
             np.add.at(cover, at[np.concatenate(([0], edge + 1))], 1)
             np.add.at(cover, at[np.concatenate((edge, [len(at) - 1]))] + width, -1)
-    return np.cumsum(cover[:-1]) > 0
+    np.cumsum(cover, out=cover)
+    return cover[:-1] > 0
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: int, finish: Callable, schema: str, *more: str) -> DataFrame:
@@ -376,6 +396,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: i
     both = shared.withColumn("step", F.lit(0)).unionByName(holders.withColumn("step", F.lit(1)))
 
     def end(key: tuple, mine: pa.Table, said: pa.Table) -> pa.Table:
+        trim()
         block = Block(mine, width)
         step = said.column("step").to_numpy()
         found = Segments(block, said.filter(pa.array(step == 0)), parts)
@@ -384,14 +405,14 @@ def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: i
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(end, schema)
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 12 << 20) -> DataFrame:
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay,
     and the removed runs as arrays of byte positions `starts` and `ends`."""
 
     def finish(mine: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
         n = len(block.ids)
         offsets = block.offsets
-        before = np.concatenate(([0], np.cumsum(gone)))
+        before = np.concatenate(([0], np.cumsum(gone, dtype=np.int32)))
         edge = np.zeros(len(gone) + 1, bool)
         edge[offsets] = True
         opens = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate(([False], gone[:-1]))))
@@ -412,7 +433,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     return _removed(docs, doc_id, text, width, block_bytes, finish, schema).withColumnRenamed("id", doc_id)
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 12 << 20) -> DataFrame:
+def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents with repeated strings cut out of their texts; characters that a cut would split stay whole."""
     names = docs.columns
     others = [n for n in names if n not in (doc_id, text)]
@@ -423,7 +444,7 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         start = np.flatnonzero(~follow)
         if len(start):  # a character goes only if all its bytes do
             gone = np.repeat(np.minimum.reduceat(gone, start), np.diff(np.concatenate((start, [len(gone)]))))
-        kept = np.concatenate(([0], np.cumsum(~gone)))[block.offsets]
+        kept = np.concatenate(([0], np.cumsum(~gone, dtype=np.int32)))[block.offsets]
         data = block.data[~gone].tobytes()
         null = mine.column("__text").is_null().to_numpy()[block.order]
         texts = [None if z else data[a:b].decode("utf-8") for a, b, z in zip(kept[:-1], kept[1:], null, strict=True)]
