@@ -62,7 +62,9 @@ def model_type(epsg: int, known: Ranges = KNOWN) -> int:
 
 
 def with_model_type(df: DataFrame, epsg: str, known: DataFrame) -> DataFrame:
-    """Adds `model`: 0 undefined, 1 projected, 2 geographic. The ranges are registry data, a few hundred rows."""
+    """Adds `model`: 0 undefined, 1 projected, 2 geographic. The ranges are registry data; at most 100,000 are taken."""
+    if known.limit(100_001).count() > 100_000:
+        raise ValueError("a table of codes has at most 100,000 ranges")
     k = F.broadcast(known.select(F.col("kind").alias("__kind"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")))
     out = df.join(k, (F.col(epsg) >= F.col("__lo")) & (F.col(epsg) <= F.col("__hi")), "left")
     return out.withColumn("model", F.coalesce("__kind", F.lit(UNDEFINED))).drop("__kind", "__lo", "__hi")

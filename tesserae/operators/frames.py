@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, dtypes
 from ..functions.grid import Grid, div, human_bytes, label
+from ..ship import ship
 from .read import to_spark
 
 OWN = ("data", "compressed", "cell", "tile", "row", "col", "band")
@@ -139,6 +140,7 @@ class FrameTable:
     def compress(self, recipe: str = "zlib") -> FrameTable:
         """Every frame with a payload, by a codec of `functions.codec`."""
         codec.parse(recipe)
+        ship(self.df.sparkSession)
         kind, names = self.grid.kind, [c for c in self.df.columns if c != "payload"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

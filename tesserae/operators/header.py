@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import FormatError
 from ..functions import dtypes
 from ..functions.grid import HEADER_BYTES, MAX_FRAMES, MAX_LISTED, UNITS, Grid, base_offset
+from ..ship import ship
 
 # The record's layout, its first number, its version.
 RECORD = struct.Struct("<IHIIHHHBBBIB")
@@ -192,6 +193,7 @@ PARSED = f"struct<ok:boolean,problem:int,message:string,{FIELDS.replace(' ', ':'
 
 def parsed(headers: DataFrame, header: str = "header", strict: bool = False) -> DataFrame:
     """Adds the struct `parsed`: the header's fields, or what is wrong with it (strict: an error at run time)."""
+    ship(headers.sparkSession)
     names = headers.columns
     keys = [f.split()[0] for f in FIELDS.split(", ")]
 

@@ -14,6 +14,7 @@ from ..functions import codec
 from ..functions.grid import UNITS, Grid
 from ..plans import layout as layouts
 from ..plans.selection import Request, ordered, pick
+from ..ship import ship
 from ..sources import frames_source
 from ..threads import get_parallelism
 from .header import parse_header
@@ -33,6 +34,7 @@ def to_spark(values: np.ndarray, kind) -> pa.Array:
 
 def decoded(frames: DataFrame, grid: Grid) -> DataFrame:
     """Frames with `data` in place of `payload`; sizes are what the grid says, not what payloads claim."""
+    ship(frames.sparkSession)
     kind = grid.kind
     names = [c for c in frames.columns if c not in ("payload", "h", "w")]
 

@@ -11,6 +11,7 @@ The sample tables hold no rasters, so grids are derived from them:
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,9 +23,10 @@ from .functions.grid import Grid
 from .operators import header as H
 from .operators import pixels as P
 from .operators.frames import FrameTable
+from .operators.read import read as read_images
 from .plans import layout as L
 from .plans.selection import Request, ordered
-from .sources import frames_source
+from .sources import frames_source, scratch, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -459,6 +461,30 @@ def w10_canonical_unit(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", unit.cast("int").alias("unit"))
 
 
+def _written(spark, sf_dir):
+    """The embedding stack as container files in a folder that all executors share: rows (n, path, header)."""
+    pixels, grid = vector_stack(spark, sf_dir)
+    frames = FrameTable(P.cut(pixels, grid, ["n"]), grid).compress("zlib").df
+    return writer.write_images(frames, scratch.shared_folder(spark, "images"), grid)
+
+
+@query(f"WITH {STACK} SELECT n, y - 1 AS y, x - 2 AS x, v FROM vector_stack WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
+def w1_containers_written_and_read(spark, sf_dir):
+    """Cut, compressed, written, and read back by position: only the frames that the window meets."""
+    path = f"{scratch.shared_folder(spark, 'catalog')}/images.parquet"
+    _written(spark, sf_dir).write.parquet(f"file://{path}")  # the catalog is a table like any other
+    images = spark.read.parquet(f"file://{path}")
+    return read_images(images, y=(1, 7), x=(2, 8), pattern="n b y x").select(F.col("n").cast("int").alias("n"), "y", "x", "v")
+
+
+@query("SELECT vec_id || '.frames' AS file, cast(9 AS bigint) AS frames, cast(412 + 108 AS bigint) AS base_frame_offset, 'float32' AS dtype FROM embeddings")
+def s6_containers_indexed(spark, sf_dir):
+    """Headers rebuilt from the files' own directories."""
+    path = os.path.dirname(_written(spark, sf_dir).agg(F.min("path")).first()[0])
+    found = H.parsed(frames_source.catalog(spark, path), strict=True)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), *(F.col(f"parsed.{k}").alias(k) for k in ("frames", "base_frame_offset", "dtype")))
+
+
 # ---- reads: R -----------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import FormatError
 from ..functions.grid import Grid
 from ..operators.header import parse_header
+from ..ship import ship
 from .container import Reader, index
 
 INDEX_SCHEMA = "path string, header binary, transform array<double>, epsg int, pixel_is_point boolean"
@@ -54,7 +55,7 @@ class IndexReader(DataSourceReader):
             files = sorted(e.path for e in os.scandir(self.path) if e.is_file() and e.name.endswith(self.suffix))
         else:
             files = [self.path]
-        step = max(1, -(-len(files) // 1000))
+        step = max(32, -(-len(files) // 1000))
         return [InputPartition(files[i : i + step]) for i in range(0, len(files), step)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -66,6 +67,7 @@ def register(spark: SparkSession) -> None:
     """Makes the formats "container_index" and "containers" known to a session."""
     from .writer import ContainerSink
 
+    ship(spark)
     spark.dataSource.register(ContainerIndex)
     spark.dataSource.register(ContainerSink)
 
@@ -78,6 +80,7 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_from_bytes(spark: SparkSession, path: str) -> DataFrame:
     """The same for any store that Spark reads: whole files as rows with `content`."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.frames").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +110,7 @@ def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
     """
     from ..plans.selection import Request
 
+    ship(images.sparkSession)
     names = [c for c in images.columns if c != "header"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +141,7 @@ def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
 
 def payloads(frames: DataFrame) -> DataFrame:
     """Adds `payload` to planned frames, from `content` where there is some, else from the file at `path`."""
+    ship(frames.sparkSession)
     names = [c for c in frames.columns if c != "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

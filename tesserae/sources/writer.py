@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from ..errors import FormatError
 from ..functions import geo
 from ..functions.grid import Grid
+from ..ship import ship
 from .container import Geo, write_file
 
 
@@ -34,6 +35,7 @@ def write_images(frames: DataFrame, folder: str, grid: Grid, image: str = "n", *
 
     frames: image, frame_index and payload. Each image is one group, so its frames meet in one task.
     """
+    ship(frames.sparkSession)
     place = Geo.of(**where)
 
     def one(key: tuple, table: pa.Table) -> pa.Table:

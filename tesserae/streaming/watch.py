@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FormatError
 from ..operators.header import parse_header
+from ..ship import ship
 from ..sources.container import Reader, index
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -20,6 +21,7 @@ def watch(spark: SparkSession, folder: str, suffix: str = ".frames") -> DataFram
 
     Files that break the format come with what is wrong and no header, so that one bad file stops nothing.
     """
+    ship(spark)
     files = spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
