@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 U64 = np.uint64
 _STEP = 6364136223846793005  # odd, so that it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -24,7 +26,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Limit what one Arrow batch carries to a Python worker, unless the session says otherwise."""
+    """Make workers ready: they find this package, and one Arrow batch is small unless the session says otherwise."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not re.fullmatch(r"[0-9]{1,7}", spark.conf.get(key)):
         spark.conf.set(key, str(megabytes * 1_000_000))
