@@ -60,6 +60,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def block_count(spark: SparkSession, total: int, most: int, least: int = 128 << 10) -> int:
+    """Into how many blocks to deal so many bytes: as many as there are shuffle partitions, but of no less than
+    `least` bytes each, and more where they would pass `most`."""
+    return max(1, min(shuffle_parts(spark), -(-total // least)), -(-total // most))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values in place (a finaliser of multiply and shift)."""
     h ^= h >> U64(32)

@@ -28,14 +28,14 @@ names pass unread.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, as_long, bound_batches, flat, mix, pieces, shuffle_parts, trim
+from .kit import Rolling, as_long, block_count, bound_batches, flat, mix, pieces, trim
 from .packed import cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
@@ -385,7 +385,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: i
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    parts = max(shuffle_parts(spark), -(-total // block_bytes))
+    parts = block_count(spark, total, block_bytes)
     picked = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), *more)
     dealt = picked.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(parts))).repartition(parts, "block")
     small = "part long, block long, payload binary"
