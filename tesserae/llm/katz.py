@@ -25,6 +25,7 @@ unread.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, Words, as_long, bound_batches, flat, lower_ascii, mix, pieces, settle, shuffle_parts
+from .kit import Rolling, Words, as_long, block_count, bound_batches, flat, lower_ascii, mix, pieces, trim
 from .packed import cut, packed, packed_keys, part_of, rows_of, unpacked, unpacked_keys
 
 U64 = np.uint64
 END = U64(0x1B873593CC9E2D51)  # stands for the end token, and for what precedes a text
+NAMES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 DISCOUNTED = 5  # counts up to this one are discounted
 
 
@@ -82,6 +84,7 @@ class Keys:
 
 def _counts(parts: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         tokens = Tokens(table)
         rows = []
         for order, what in ((1, tokens.word), (2, tokens.pair)):
@@ -177,6 +180,7 @@ class Counted:
         self.history[1:] = self.words.of[:-1]
         if len(tokens.edges) > 1:
             self.history[tokens.edges[:-1]] = self.words.of[tokens.edges[1:] - 1]
+        del tokens.word, tokens.history, tokens.pair, tokens.trains  # large, and no longer needed
 
 
 def _said(table: pa.Table, step: int) -> dict[int, bytes]:
@@ -184,11 +188,22 @@ def _said(table: pa.Table, step: int) -> dict[int, bytes]:
     return dict(zip(mine.column("part").to_pylist(), mine.column("payload").to_pylist(), strict=True))
 
 
-def _sums(parts: int, model: Model) -> Callable:
+def _model(said: pa.Table) -> Model:
+    """From the counts of counts that every block is sent."""
+    stats = np.zeros((3, DISCOUNTED + 4), np.int64)
+    for order, r, n in json.loads(_said(said, 2)[-1]):
+        stats[order, r] = n
+    return Model(stats[1], stats[2])
+
+
+def _sums(parts: int) -> Callable:
     """Per history of a block: what the pairs it owns take of the higher and of the lower order."""
 
     def run(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
-        c = Counted(docs, _said(said, 0), parts)
+        trim()
+        if not docs.num_rows:
+            return rows_of("part block payload", [])
+        model, c = _model(said), Counted(docs, _said(said, 0), parts)
         n = len(c.words.keys)
         token = np.zeros(len(c.pairs.keys), np.int64)
         token[c.pairs.of] = np.arange(len(c.pairs.of))  # a token that has the pair
@@ -196,53 +211,61 @@ def _sums(parts: int, model: Model) -> Callable:
         history, word = c.history[token[mine]], c.words.of[token[mine]]
         high = np.bincount(history, model.pair(c.pair_total[mine], c.word_total[history]), n)
         low = np.bincount(history, model.word(c.word_total[word]), n)
+        asks = np.zeros(n, bool)  # histories that this block has before an unseen word
+        asks[c.history[c.pair_total[c.pairs.of] == 0]] = True
         rows = []
         for p, a, b in cut(part_of(c.words.keys, parts)):
             keys = packed_keys(c.words.keys[a:b])
-            rows.append((p, key[0].as_py(), (b - a).to_bytes(8, "little") + len(keys).to_bytes(8, "little") + keys + packed(high[a:b], low[a:b])))
+            rest = packed(high[a:b], low[a:b], c.word_total[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T, np.packbits(asks[a:b]))
+            rows.append((p, key[0].as_py(), (b - a).to_bytes(8, "little") + len(keys).to_bytes(8, "little") + keys + rest))
         return rows_of("part block payload", rows)
 
     return run
 
 
-def _history_sums(key: tuple, table: pa.Table) -> pa.Table:
-    keys, high, low = [], [], []
+def _weights(key: tuple, table: pa.Table) -> pa.Table:
+    """For each block: scale of the histories it sent, and alpha of those that it asks for (else 0)."""
+    keys, high, low, count, asks = [], [], [], [], []
     for payload in table.column("payload").to_pylist():
         n, size = int.from_bytes(payload[:8], "little"), int.from_bytes(payload[8:16], "little")
         keys.append(unpacked_keys(payload[16 : 16 + size], n))
         raw = unpacked(payload[16 + size :])
         high.append(np.frombuffer(raw, "<f8", n))
         low.append(np.frombuffer(raw, "<f8", n, 8 * n))
+        count.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16 * n).reshape(8, n).T).view("<i8").ravel())
+        asks.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=24 * n), count=n).astype(bool))
     sizes = [len(k) for k in keys]
-    keys, high, low = np.concatenate(keys), np.concatenate(high), np.concatenate(low)
+    keys, high, low, count = (np.concatenate(x) for x in (keys, high, low, count))
     # Blocks come in any order: sorted values make the sums the same in every run.
     order = np.lexsort((low, high, keys))
     ordered = keys[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     lengths = np.diff(np.concatenate((first, [len(keys)])))
+    high, low, count = np.add.reduceat(high[order], first), np.add.reduceat(low[order], first), count[order][first]
+    spare = np.where(count > 0, np.maximum(1 - high, 0.5 / (count + 1)), 1.0)
+    tight = spare > 1 - high
     out = np.empty((2, len(keys)))
-    out[0, order] = np.repeat(np.add.reduceat(high[order], first), lengths)
-    out[1, order] = np.repeat(np.add.reduceat(low[order], first), lengths)
+    out[0, order] = np.repeat(np.where(tight & (high > 0), (1 - spare) / np.where(high > 0, high, 1), 1.0), lengths)
+    out[1, order] = np.repeat(np.where(count > 0, spare / np.maximum(1 - low, 1e-300), 1.0), lengths)
     rows, at = [], 0
-    for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
-        rows.append((block, key[0].as_py(), packed(out[0, at : at + n], out[1, at : at + n])))
+    for block, n, asked in zip(table.column("block").to_pylist(), sizes, asks, strict=True):
+        rows.append((block, key[0].as_py(), packed(out[0, at : at + n], np.where(asked, out[1, at : at + n], 0.0))))
         at += n
     return rows_of("block part payload", rows)
 
 
-def _scores(parts: int, model: Model, ids: str) -> Callable:
+def _scores(parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
-        c = Counted(docs, _said(said, 0), parts)
+        trim()
+        if not docs.num_rows:
+            return pa.table([docs.column("__id"), *(pa.array([], t) for t in (pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))], names=NAMES)
+        model, c = _model(said), Counted(docs, _said(said, 0), parts)
         sums = _said(said, 1)
         n = len(c.words.keys)
-        high, low = np.zeros(n), np.zeros(n)
+        scale, alpha = np.ones(n), np.ones(n)
         for p, a, b in cut(part_of(c.words.keys, parts)):
             raw = unpacked(sums[p])
-            high[a:b], low[a:b] = np.frombuffer(raw, "<f8", b - a), np.frombuffer(raw, "<f8", b - a, 8 * (b - a))
-        seen = c.word_total > 0
-        spare = np.where(seen, np.maximum(1 - high, 0.5 / (c.word_total + 1)), 1.0)
-        scale = np.where(high > 0, (1 - spare) / np.where(high > 0, high, 1), 1.0)
-        alpha = np.where(seen, spare / np.maximum(1 - low, 1e-300), 1.0)
+            scale[a:b], alpha[a:b] = np.frombuffer(raw, "<f8", b - a), np.frombuffer(raw, "<f8", b - a, 8 * (b - a))
         count, pair = c.word_total[c.words.of], c.pair_total[c.pairs.of]
         lower = model.word(count)
         p = np.where(pair > 0, scale[c.history] * model.pair(pair, c.word_total[c.history]), alpha[c.history] * lower)
@@ -250,7 +273,7 @@ def _scores(parts: int, model: Model, ids: str) -> Callable:
         total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         base = np.log10((count + 1) / (model.n + model.v + 1))
         columns = [as_long(np.diff(c.tokens.edges)), as_long(total((count > 0).astype(np.int64))), as_long(np.full(len(starts), model.n)), pa.array(total(base)), pa.array(total(np.log10(p)))]
-        return pa.table([docs.column(ids), docs.column("__held"), *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([docs.column("__id"), docs.column("__held"), *columns], names=NAMES)
 
     return run
 
@@ -263,24 +286,24 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    parts = max(shuffle_parts(spark), -(-total // block_bytes))
+    blocks = block_count(spark, total, block_bytes)
+    parts = max(blocks // 4, min(blocks, 32))  # of each order of counts
     picked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.coalesce(held_out, F.lit(False)).alias("__held"))
-    dealt = picked.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(parts))).repartition(parts, "block")
+    dealt = picked.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(blocks))).repartition(blocks, "block")
     small = "part long, block long, payload binary"
     answer = "block long, part long, payload binary"
-    counts = settle(dealt.groupBy("block").applyInArrow(_counts(parts), small).groupBy("part").applyInArrow(_totals, answer))
-    stats = {1: np.zeros(DISCOUNTED + 4, np.int64), 2: np.zeros(DISCOUNTED + 4, np.int64)}
-    sums = counts.where("block = -1").select((F.col("part") / parts).cast("int").alias("order"), "payload").mapInArrow(_unpack_stats, "order int, r int, n long").groupBy("order", "r").agg(F.sum("n").alias("n"))
-    for row in sums.collect():  # two orders, nine numbers each
-        stats[row["order"]][row["r"]] = row["n"]
-    model = Model(stats[1], stats[2])
-    said = counts.where("block >= 0").withColumn("step", F.lit(0))
-    history = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_sums(parts, model), small)
-    history = history.groupBy("part").applyInArrow(_history_sums, answer).withColumn("step", F.lit(1))
+    counts = dealt.groupBy("block").applyInArrow(_counts(parts), small).groupBy("part").applyInArrow(_totals, answer)
+    # Counts of counts are a few numbers; every block gets a copy beside its own answers.
+    stats = counts.where("block = -1").select((F.col("part") / parts).cast("int").alias("order"), "payload").mapInArrow(_unpack_stats, "order int, r int, n long").groupBy("order", "r").agg(F.sum("n").alias("n"))
+    told = stats.agg(F.to_json(F.collect_list(F.array(F.col("order").cast("long"), F.col("r").cast("long"), "n"))).cast("binary").alias("payload"))
+    told = told.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(-1).cast("long").alias("part"), "payload", F.lit(2).alias("step"))
+    said = counts.where("block >= 0").withColumn("step", F.lit(0)).unionByName(told)
+    history = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_sums(parts), small)
+    history = history.groupBy("part").applyInArrow(_weights, answer).withColumn("step", F.lit(1))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = said.unionByName(history)
-    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scores(parts, model, "__id"), schema).withColumnRenamed("id", doc_id)
+    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scores(parts), schema).withColumnRenamed("id", doc_id)
 
 
 def _unpack_stats(batches):
