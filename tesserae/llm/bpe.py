@@ -26,8 +26,11 @@ import re
 import struct
 from itertools import chain
 
+import numpy as np
 import regex
 
+from .suffixes import common_prefixes
+
 #: Pre-tokenizer pattern of the public byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,10 +48,23 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bytes of a shared prefix that are compared at once.
+SEEN = 24
+
+
+def _shared_prefixes(words: list[bytes]) -> list[int]:
+    """How many bytes each word shares with the one before it, up to SEEN."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer(b"".join(words) + bytes(SEEN + 8), np.uint8)
+    shared = common_prefixes(text, np.cumsum(sizes) - sizes, SEEN)
+    shared[1:] = np.minimum(shared[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return shared.tolist()
+
+
 class TrieBPE:
     """Encoder and decoder for one ``tokenizers`` JSON file with a byte-level BPE model."""
 
-    def __init__(self, path: str, max_words: int = 150_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _printable_bytes()
@@ -139,13 +155,13 @@ class TrieBPE:
         lengths, packed, table = self.lengths, self.packed, self.table
         go, ends, stable, is_stable = self.go, self.ends, self.stable, self._is_stable
         last, state, before = [-1], [0], b""  # of the open prefixes, by depth
-        for word, text in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+        texts = sorted(words)  # the order of code points is that of their UTF-8 bytes
+        encoded = [t.encode() for t in texts]
+        for text, word, same in zip(texts, encoded, _shared_prefixes(encoded), strict=True):
             size = len(word)
-            same = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
-                same += 1
+            if same == SEEN:
+                while same < size and same < len(before) and word[same] == before[same]:
+                    same += 1
             del last[same + 1 :], state[same + 1 :]
             at = state[same]
             for depth in range(same, size):
@@ -203,7 +219,7 @@ class TrieBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-def load(path: str, max_words: int = 150_000) -> TrieBPE:
+def load(path: str, max_words: int = 300_000) -> TrieBPE:
     """One encoder per file and Python worker."""
     if path not in _LOADED:
         _LOADED[path] = TrieBPE(path, max_words)
