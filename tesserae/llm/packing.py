@@ -165,7 +165,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, d
                 ordinal += 1
             if sequences:
                 yield rows(sequences)
-        yield rows(packer.finish())
+        if rest := packer.finish():
+            yield rows(rest)
 
     picked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     schema = f"__id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
