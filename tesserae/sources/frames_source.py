@@ -73,7 +73,7 @@ def register(spark: SparkSession) -> None:
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers of a folder that all executors share: path, header and georeferencing, numbered by path."""
+    """Containers of a folder that all executors share: path, header and georeferencing. Give them numbers n from 0 to read them as a stack."""
     register(spark)
     return spark.read.format("container_index").load(folder)
 

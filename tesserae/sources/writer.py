@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..errors import FormatError
@@ -17,12 +18,16 @@ from .container import Geo, write_file
 
 
 def write(path, table, *, transform=None, crs=None, pixel_is_point: bool = False, known: geo.Ranges = geo.KNOWN):
-    """Writes a frame table whose frames all have payloads; returns (path, header)."""
+    """Writes a frame table whose frames all have payloads; returns (path, header).
+
+    Sizes come to the driver first, then the payloads one partition at a time; to write many images, use `write_images`.
+    """
     rows = table.df.select("frame_index", "payload").orderBy("frame_index")
-    if table.df.where("payload IS NULL").limit(1).count():
+    counts = [r.n for r in rows.select(F.octet_length("payload").cast("bigint").alias("n")).toLocalIterator()]
+    if None in counts:
         raise ValueError("some frames have no payload yet")
-    payloads = [bytes(r.payload) for r in rows.toLocalIterator()]
-    return path, write_frames(path, payloads, table.grid, transform=transform, crs=crs, pixel_is_point=pixel_is_point, known=known)
+    payloads = (bytes(r.payload) for r in rows.toLocalIterator(prefetchPartitions=True))
+    return path, write_file(path, table.grid, payloads, counts, Geo.of(transform, crs, pixel_is_point), known)
 
 
 def write_frames(path, payloads: list[bytes], grid: Grid, *, transform=None, crs=None, pixel_is_point: bool = False, known: geo.Ranges = geo.KNOWN) -> bytes:
