@@ -44,6 +44,10 @@ def window(selection, name: str, total: int) -> tuple[int, int]:
     return start, stop
 
 
+#: Pairs of integers that are sent to all executors at most.
+MOST_BROADCAST = 1_000_000
+
+
 @dataclass(frozen=True)
 class Request:
     """A checked selection on a grid."""
@@ -87,17 +91,17 @@ class Request:
 def ordered(df: DataFrame, key: str, chosen: list[int] | None, out: str) -> DataFrame:
     """Adds `out`, the place of each row's key among the chosen ones; rows repeat as keys do, others go.
 
-    The places are an array beside each row's key, so that nothing is shuffled.
+    A few places are an array beside each row's key, more are broadcast, and very many are joined.
     """
     if chosen is None:
         return df.withColumn(out, F.col(key).cast("int"))
     places: dict[int, list[int]] = {}
     for i, k in enumerate(chosen):
         places.setdefault(k, []).append(i)
-    if len(places) <= 64 or len(chosen) > 1_000_000:
+    if len(places) <= 64:
         lookup = F.lit(None).cast("array<int>")
         for k in sorted(places, reverse=True):
             lookup = F.when(F.col(key) == k, F.array(*map(F.lit, places[k]))).otherwise(lookup)
         return df.where(F.col(key).isin(*places)).withColumn(out, F.explode(lookup))
     rows = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(chosen)], f"{key} int, {out} int")
-    return df.join(F.broadcast(rows), key)  # at most a million pairs of integers
+    return df.join(F.broadcast(rows) if len(chosen) <= MOST_BROADCAST else rows, key)
