@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -49,6 +50,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join for which both sides are exchanged, so that Spark can split a hot key's rows at run time.
+
+    Where one side is an aggregate on the same keys, its exchange would serve the join too, and
+    could not be split. One more key, a hash of the others, asks for exchanges of the join's own.
+    """
+    h = F.xxhash64(*keys)
+    return left.withColumn("__h", h).join(right.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
+
+
 def trim() -> None:
     """Hand memory that a Python worker has freed back to the system; done between groups of rows."""
     pa.default_memory_pool().release_unused()
