@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import Rolling, Words, as_long, bound_batches, flat, lower_ascii, mix, pieces, settle
+from .kit import Rolling, Words, as_long, bound_batches, flat, lower_ascii, mix, pieces, settle, split_join
 
 U64 = np.uint64
 BINS, BANDS = 128, 32
@@ -163,7 +163,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     bucket = heads.select("id", F.posexplode("keys").alias("band", "key")).select("key", "id", F.col("band").cast("byte").alias("band"))
     shared = bucket.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     seconds = [F.col("keys")[(F.col("band") + step) % BANDS].alias(f"k{i}") for i, step in enumerate(OFFSETS)]
-    members = settle(bucket.join(shared, "key").join(heads, "id").select("key", "id", "n", "a", *seconds))
+    members = settle(split_join(bucket, shared, ["key"]).join(heads, "id").select("key", "id", "n", "a", *seconds))
     sizes = members.select(F.col("a"), F.col("id").alias("b"), F.col("n").alias("nb")).where("a < b").distinct()
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  no larger overlap is possible
     heads_n = heads.select(F.col("id").alias("a"), F.col("n").alias("na"))
@@ -179,7 +179,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         of = components(links)
         placed = members.select("key", F.col(second).alias("second"), "id", "n").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("key", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("id", "n", "component")).alias("centre")).where("lo < hi").select("key", "second", "centre")
-        more = placed.join(mixed, ["key", "second"]).where("component <> centre.component").where(near(F.col("n"), F.col("centre.n")))
+        more = split_join(placed, mixed, ["key", "second"]).where("component <> centre.component").where(near(F.col("n"), F.col("centre.n")))
         more = more.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more = settle(more)
         if more.isEmpty():
@@ -189,6 +189,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         links = links.unionByName(found)
     of = components(links)
     named = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, ["n", "s1", "s2"], "left")
+    out = split_join(rows, named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
