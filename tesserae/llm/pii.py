@@ -55,12 +55,13 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _DIGIT = {w: str(i) for line in DIGIT_WORDS for i, w in enumerate(line.split())} | MORE_DIGITS
 _DIGIT_ALT = "|".join(sorted(map(re.escape, _DIGIT), key=len, reverse=True))
-_GAP = r"(?:[\x20\t\r\n]*[,.;/-]?[\x20\t\r\n]*)"
-#: Six or more digit words in a row, perhaps mixed with written digits and after a plus.
-SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)}|\+){_GAP})?(?:{_DIGIT_ALT}|[0-9])(?:{_GAP}(?<!\w)(?:{_DIGIT_ALT}|[0-9]+)(?!\w)){{5,}}", re.IGNORECASE)
-#: Cheap sign that SPELLED may match: three digit words side by side.
-SPELLED_SIGN = re.compile(rf"\b(?:{_DIGIT_ALT})[^\w]+(?:{_DIGIT_ALT})[^\w]+(?:{_DIGIT_ALT})\b", re.IGNORECASE)
-SPELLED_PART = re.compile(rf"({'|'.join(PLUS_WORDS)})|({_DIGIT_ALT})|([0-9+])|(.)", re.IGNORECASE | re.DOTALL)
+_GAP = r"(?:[\x20\t\r\n]*[,.;/()-]{0,2}[\x20\t\r\n]*)"
+_DOTS = "|".join(DOT_WORDS)
+#: Six or more words for digits or dots in a row, perhaps mixed with written digits and after a plus.
+SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)}|\+){_GAP})?(?:{_DIGIT_ALT}|[0-9])(?:{_GAP}(?<!\w)(?:{_DIGIT_ALT}|{_DOTS}|[0-9]+)(?!\w)){{5,}}", re.IGNORECASE)
+#: Cheap sign that SPELLED may match: two digit words side by side or around a dot.
+SPELLED_SIGN = re.compile(rf"\b(?:{_DIGIT_ALT})[^\w]+(?:{_DIGIT_ALT}|{_DOTS})[^\w]+(?:{_DIGIT_ALT})\b", re.IGNORECASE)
+SPELLED_PART = re.compile(rf"({'|'.join(PLUS_WORDS)})|({_DIGIT_ALT})|([0-9+])|({_DOTS})|(.)", re.IGNORECASE | re.DOTALL)
 _WRAP = lambda words, sign: rf"(?:\s*[\[({{<]\s*(?:{'|'.join(words)}|{sign})\s*[\])}}>]\s*)"
 _BARE = lambda words: rf"(?:\s+(?:{'|'.join(words)})\s+)"
 _AT = rf"(?:{_WRAP(AT_WORDS, '@')}|{_BARE(AT_WORDS)}|\s*@\s*)"
@@ -71,6 +72,14 @@ DISGUISED = re.compile(
     rf"(?:{_AT}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*|{_WRAP(AT_WORDS, '@')}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
     re.IGNORECASE,
 )
+#: An address of four numbers with disguised dots.
+DISGUISED_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
+#: An address with blanks around its at sign.
+SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\x20+@\x20*|\x20*@\x20+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+SPACED_PART = re.compile(r"(\x20*@\x20*)|(.)", re.DOTALL)
+#: Digits among which letters stand for 0 and 1.
+LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[\x20().-]{0,2}[0-9OoIl]){8,}(?![A-Za-z0-9])")
+LETTERED_PART = re.compile("([Oo])|([Il])|(.)", re.DOTALL)
 # Endings that a host must have if its address is spelled in bare words.
 ENDINGS = "com org net edu gov mil int info biz io ai app dev de fr es it nl uk eu us ca ch at be pl pt se no dk fi jp cn in br mx au ru example test".split()
 DISGUISED_PART = re.compile(rf"({_AT})|({_DOT})|(.)", re.IGNORECASE | re.DOTALL)
@@ -171,7 +180,17 @@ class View:
 
 def _spelled(m: re.Match) -> str:
     word = m[0].lower()
-    return "+" if m[1] else _DIGIT[word] if m[2] else word if m[3] else " " if word in " -" else ""
+    return "+" if m[1] else _DIGIT[word] if m[2] else word if m[3] else "." if m[4] else ""
+
+
+def _lettered(m: re.Match) -> str:
+    return "0" if m[1] else "1" if m[2] else m[0]
+
+
+def _mostly_digits(m: re.Match) -> bool:
+    """Some letters, but at least twice as many digits."""
+    digits, letters = sum(map(str.isdigit, m[0])), sum(map(str.isalpha, m[0]))
+    return 0 < 2 * letters <= digits
 
 
 def _is_address(m: re.Match) -> bool:
@@ -183,11 +202,6 @@ def _address(m: re.Match) -> str:
     return "@" if m[1] else "." if m[2] else m[0]
 
 
-def _one_gap(view: View) -> View:
-    """Digits that were spelled may stand further apart than identifiers allow: runs of blanks become one."""
-    return view.rewrite(re.compile(r"(?<=[0-9]) {2,}(?=[0-9])"), re.compile(" +"), lambda m: " ")
-
-
 def disguised(text: str, flags: int = 15) -> list[tuple[int, int, int]]:
     """(start, kind, end) of identifiers in the rewritten text, in source positions (plain ones are among them)."""
     view, changed = View(text), False
@@ -196,20 +210,26 @@ def disguised(text: str, flags: int = 15) -> list[tuple[int, int, int]]:
         changed = view.text != text
     low = view.text.lower() if len(view.text.lower()) == len(view.text) else view.text
     found = []
+
+    def rewritten(whole: re.Pattern, part: re.Pattern, as_text, holds=None) -> None:
+        nonlocal view, changed
+        before, view = view, view.rewrite(whole, part, as_text, holds)
+        changed |= view is not before
+
     if SPELLED_SIGN.search(low):
-        runs = [(m.start(), m.end()) for m in SPELLED.finditer(view.text)]
-        spelled = view.rewrite(SPELLED, SPELLED_PART, _spelled)
-        changed |= spelled is not view
         # A spelled run of 9 to 15 digits without a plus sign is a phone number, if it is no card number.
-        for a, b in runs:
-            digits = "".join(_DIGIT.get(p[0].lower(), p[0] if p[3] else "") for p in SPELLED_PART.finditer(view.text, a, b) if not p[4])
+        for m in SPELLED.finditer(view.text):
+            digits = "".join(map(_spelled, SPELLED_PART.finditer(m[0])))
             if len(set(digits)) > 2 and digits.isdigit() and 9 <= len(digits) <= 15 and not (len(digits) >= 12 and luhn(digits)):
-                found.append((view.start[a], 3, view.end[b - 1]))
-        view = _one_gap(spelled)
-    if any(s in low for s in SIGNS):
-        addressed = view.rewrite(DISGUISED, DISGUISED_PART, _address, _is_address)
-        changed |= addressed is not view
-        view = addressed
+                found.append((view.start[m.start()], 3, view.end[m.end() - 1]))
+        rewritten(SPELLED, SPELLED_PART, _spelled)
+    if any(c.isdigit() for c in view.text) if flags & 8 or changed else flags & 1:
+        rewritten(LETTERED, LETTERED_PART, _lettered, _mostly_digits)
+    if " @" in view.text or "@ " in view.text:
+        rewritten(SPACED, SPACED_PART, lambda m: "@" if m[1] else m[0])
+    if any(x in low for x in SIGNS):
+        rewritten(DISGUISED_IP, DISGUISED_PART, _address)
+        rewritten(DISGUISED, DISGUISED_PART, _address, _is_address)
     if not changed:
         return []
     few = lambda a, kind, b: kind >= 2 and len(set(filter(str.isdigit, view.text[a:b]))) < kind  # noqa: E731  a word said over and over is no number
