@@ -389,6 +389,12 @@ PRIVATE = [
     ("bob＠ex．com or ４１１１ １１１１ １１１１ １１１１", "email:bob＠ex．com card:４１１１ １１１１ １１１１ １１１１"),
     ("1\u200b0.0.0.7", "ip:1\u200b0.0.0.7"),
     ("é" * 5 + " a@b.cd", "email:a@b.cd"),
+    ("write joe @ example.com or KNREMB dot 18 AT mail7 DOT example DOT com", "email:joe @ example.com email:KNREMB dot 18 AT mail7 DOT example DOT com"),
+    ("host 192[.]168[.]0[.]1, 10 dot 0 dot 0 dot 7 and 300[.]1[.]1[.]1", "ip:192[.]168[.]0[.]1 ip:10 dot 0 dot 0 dot 7"),
+    ("one nine two dot one six eight dot zero dot one", "ip:one nine two dot one six eight dot zero dot one"),
+    ("pay 4Ol2 8888 8888 I88l now", "card:4Ol2 8888 8888 I88l"),
+    ("+1 (two one two) five five five - oh one nine nine", "phone:+1 (two one two) five five five - oh one nine nine"),
+    ("Il lll oo Oo III ll OO", ""),
 ]
 
 
