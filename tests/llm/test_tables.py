@@ -1,20 +1,27 @@
 """Operators on vectors and URLs, the pipeline, and the queries on the sample tables."""
 
 import os
+import random
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from tesserae.llm import urls, vectors
 
+from .conftest import make, prose
+from .test_text_operators import linked_plainly, measured_plainly, removed_plainly, shingles_plainly
+from .test_text_operators import plainly as plain_spans
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ODD = [None, [], [0.0] * 8, [None] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7]
 
 
-def linked_plainly(rows, threshold):
+def vectors_linked_plainly(rows, threshold):
     """n_links and component of each (id, vector)."""
     unit = []
     for i, v in rows:
@@ -51,7 +58,7 @@ def test_vectors(spark):
     df = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], "vec_id bigint, embedding array<float>, label int, id int, m int").repartition(3)
     said = []
     got = vectors.link(df, k=4, said=said.append).collect()
-    want = sorted(((i, n, c) for (i, _), (n, c) in zip(rows, linked_plainly(rows, 0.9), strict=True)), key=str)
+    want = sorted(((i, n, c) for (i, _), (n, c) in zip(rows, vectors_linked_plainly(rows, 0.9), strict=True)), key=str)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
     assert said and "audit" in said[0]
@@ -95,6 +102,39 @@ def test_pipeline(spark, docs, texts, tmp_path):
         assert dict(corpus_pipeline.STAGES)[empty](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_equals_a_plain_version(spark, texts, tmp_path):
+    """All five stages again, in plain Python (too few labels for any cutoff, so only the base rule rejects)."""
+    every = [*texts, f"{prose(random.Random(99), 40)} mail joe@ex.com or +1 (212) 555-8457 please", *["so it goes and goes on " * 2 + t for t in (texts[21] or "", texts[22] or "")]]
+    make(spark, every).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {}
+    for i, t in enumerate(every):
+        n_words, _, _, _, repeated = measured_plainly(t)
+        if n_words >= 20 and 100 * repeated <= 30 * n_words:
+            left[i] = t
+    component = linked_plainly({i: shingles_plainly(t, 5) for i, t in left.items()}, 80)
+    left = {i: t for i, t in left.items() if component[i] == i}
+    rows = [(i, t.encode()) for i, t in left.items()]
+    for (i, raw), gone in zip(rows, removed_plainly(rows, 50), strict=True):
+        at, kept = 0, []
+        for c in raw.decode():
+            size = len(c.encode())
+            if not all(gone[at : at + size]):
+                kept.append(c)
+            at += size
+        text = "".join(kept)
+        for start, kind, end in reversed(plain_spans(text)):
+            text = f"{text[:start]}<{('EMAIL', 'IP', 'CARD', 'PHONE')[kind]}>{text[end:]}"
+        left[i] = text
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    got = {i: [x for _, part in sorted(p) for x in part] for i, p in pieces.items()}
+    assert any("<EMAIL>" in t for t in left.values())
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in left.items()}
+
+
 def test_queries_run_and_match_their_sql(spark):
     from tesserae.llm import queries
 
