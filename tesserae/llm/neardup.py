@@ -167,7 +167,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     sizes = members.select(F.col("a"), F.col("id").alias("b"), F.col("n").alias("nb")).where("a < b").distinct()
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  no larger overlap is possible
     heads_n = heads.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    pairs = settle(sizes.join(heads_n, "a").where(near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
+    # Pairs are distinct already, but for ids that rows share; made distinct after it, the join could not be split.
+    pairs = settle(sizes.join(heads_n, "a").where(near(F.col("na"), F.col("nb"))).select("a", "b"))
     wanted = settle(members.select("id").distinct())
     # The few ids go to the texts while they are few enough, else both are shuffled.
     few = wanted.count() * 8 <= broadcast_bytes
