@@ -29,6 +29,7 @@ from itertools import chain
 import numpy as np
 import regex
 
+from .kit import DROPS
 from .suffixes import common_prefixes
 
 #: Pre-tokenizer pattern of the public byte-level BPE (a fixed value).
@@ -39,6 +40,7 @@ _L, _N, _S = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2
 LATIN_PATTERN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 _LOADED: dict[str, "TrieBPE"] = {}
+DROPS.append(_LOADED.clear)
 
 
 def _printable_bytes() -> dict[str, int]:

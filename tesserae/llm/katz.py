@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, Words, as_long, block_count, bound_batches, flat, lower_ascii, mix, pieces, trim
+from .kit import Rolling, Words, as_long, block_count, bound_batches, enter, flat, lower_ascii, mix, pieces, trim
 from .packed import cut, packed, packed_keys, part_of, rows_of, unpacked, unpacked_keys
 
 U64 = np.uint64
@@ -84,6 +84,7 @@ class Keys:
 
 def _counts(parts: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        enter("katz")
         trim()
         tokens = Tokens(table)
         rows = []
@@ -200,6 +201,7 @@ def _sums(parts: int) -> Callable:
     """Per history of a block: what the pairs it owns take of the higher and of the lower order."""
 
     def run(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
+        enter("katz")
         trim()
         if not docs.num_rows:
             return rows_of("part block payload", [])
@@ -256,6 +258,7 @@ def _weights(key: tuple, table: pa.Table) -> pa.Table:
 
 def _scores(parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
+        enter("katz")
         trim()
         if not docs.num_rows:
             return pa.table([docs.column("__id"), *(pa.array([], t) for t in (pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))], names=NAMES)

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,22 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("__h", h).join(right.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
 
 
+#: What drops the tables that a Python worker keeps between tasks.
+DROPS: list[Callable[[], None]] = []
+_user = ""
+
+
+def enter(user: str) -> None:
+    """Called first in a Python worker's task. A worker is used again by later stages: what another operator
+    has left in it goes before this one fills its own tables."""
+    global _user
+    if _user != user:
+        for drop in [_POWERS.clear, *DROPS]:
+            drop()
+        _user = user
+        trim()
+
+
 def trim() -> None:
     """Hand memory that a Python worker has freed back to the system; done between groups of rows."""
     pa.default_memory_pool().release_unused()

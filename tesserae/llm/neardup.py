@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import Rolling, Words, as_long, bound_batches, flat, lower_ascii, mix, pieces, settle, split_join
+from .kit import Rolling, Words, as_long, bound_batches, enter, flat, lower_ascii, mix, pieces, settle, split_join
 
 U64 = np.uint64
 BINS, BANDS = 128, 32
@@ -97,6 +97,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """Per row: id, number of shingles, two sums that stand for the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for a, b in pieces(offsets):
@@ -120,6 +121,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(id, set): the sorted shingle hashes of each row as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for a, b in pieces(offsets):
@@ -134,6 +136,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough. Each pair carries one set; the other joins it last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .kit import bound_batches
+from .kit import bound_batches, enter
 
 #: (document's ordinal, start, ids as bytes): what waits or is placed.
 Piece = tuple[int, int, bytes]
@@ -130,6 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, d
     names = ["__id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         bpe, packer = load(tokenizer), Packer(window)
         base, number = TaskContext.get().partitionId() << 40, 0
         known: dict[int, tuple] = {}  # ordinal: id, tokens, tokens not yet placed

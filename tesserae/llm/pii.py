@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import bound_batches, flat
+from .kit import bound_batches, enter, flat
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -266,6 +266,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         row = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         for batch in batches:
             both = [find(t or "", f) for t, f in zip(batch.column(1).to_pylist(), _flags(batch.column(1)), strict=True)]
@@ -298,6 +299,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
         return "".join([*out, value[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         for batch in batches:
             column = batch.column(text)
             hidden = pa.array([hide(t, f) for t, f in zip(column.to_pylist(), _flags(column), strict=True)], column.type)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, as_long, block_count, bound_batches, flat, mix, pieces, trim
+from .kit import Rolling, as_long, block_count, bound_batches, enter, flat, mix, pieces, trim
 from .packed import cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
@@ -218,6 +218,7 @@ class Block:
 
 def _anchors(width: int, parts: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        enter("suffixes")
         trim()
         block = Block(table, width)
         order = np.argsort(block.key)
@@ -278,6 +279,7 @@ class Segments:
 
 def _segments(width: int, parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        enter("suffixes")
         trim()
         if not docs.num_rows:
             return rows_of("part block payload", [])
@@ -335,6 +337,7 @@ def _distinct(sent: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndar
 
 def _holders(width: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        enter("suffixes")
         trim()
         sent, found = [], []
         for payload in table.column("payload").to_pylist():
@@ -396,6 +399,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: i
     both = shared.withColumn("step", F.lit(0)).unionByName(holders.withColumn("step", F.lit(1)))
 
     def end(key: tuple, mine: pa.Table, said: pa.Table) -> pa.Table:
+        enter("suffixes")
         trim()
         block = Block(mine, width)
         step = said.column("step").to_numpy()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .kit import as_long, bound_batches, flat, pieces
+from .kit import as_long, bound_batches, enter, flat, pieces
 
 
 def _picked(docs: DataFrame, doc_id: str, text: str, *more) -> tuple[DataFrame, str]:
@@ -31,6 +31,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     picked, kind = _picked(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         bpe = load(tokenizer)
         for batch in batches:
             ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
@@ -44,6 +45,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         bpe = load(tokenizer)
         for batch in batches:
             texts = [bpe.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
@@ -58,6 +60,7 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     picked, kind = _picked(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         bpe, sha = load(tokenizer), hashlib.sha256
         for batch in batches:
             ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
@@ -99,6 +102,7 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     picked, kind = _picked(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         bpe = load(tokenizer)
         size = np.zeros(max(bpe.token_bytes) + 1, np.int64)
         size[list(bpe.token_bytes)] = [len(t) for t in bpe.token_bytes.values()]

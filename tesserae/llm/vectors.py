@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import as_long, bound_batches, settle, shuffle_parts
+from .kit import as_long, bound_batches, enter, settle, shuffle_parts
 
 #: Vectors that the audit compares with all others.
 AUDITED = 256
@@ -47,6 +47,7 @@ def _nodes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """Distinct usable vectors: id (the smallest), m (how many), x and v (normalised, as 64- and 32-bit floats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
         for batch in batches:
             xs, vs = [], []
             for row in batch.column(2).to_pylist():
@@ -72,6 +73,7 @@ def _projected(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     """Each vector once per table: the table, the signs of `bits` projections, one more projection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
         for batch in batches:
             raw = batch.column(1).to_pylist()
             for size in sorted(set(map(len, raw))):
@@ -191,6 +193,7 @@ def graph(nodes: DataFrame, k: int, tables: int, rounds: int = 8, seed: int = 17
 
 def _confirmed(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
         for batch in batches:
             keep = [len(x) == len(y) and float(np.frombuffer(x, "<f8") @ np.frombuffer(y, "<f8")) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -204,6 +207,7 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(id, others): the members of the same component that are linked with each, with multiplicity; in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
         for batch in batches:
             ids, others = [], []
             for same, one, two in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -247,6 +251,7 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AU
     own = sum(r["m"] for r in chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
         for batch in batches:
             raw, m, total = batch.column(1).to_pylist(), batch.column(0).to_numpy(), 0
             for size, queries in by_size.items():
