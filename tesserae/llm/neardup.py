@@ -11,8 +11,10 @@ by the buckets' sizes; every candidate is confirmed on the two full sets. A buck
 still holds several components after that may hide links between its other members
 (a passage that many documents share puts strangers in one bucket). Such buckets are
 split by a second band, once for each of OFFSETS, and each part gets a star of its own
-between its components. Documents that are similar enough share about 13 bands of 32
-or more, and so dozens of such parts, while strangers share next to none.
+between its components. The members of buckets that hold several components even then
+are joined exactly: shingles have one order, rare ones first, and two sets that are
+similar enough share one of their first few shingles (a prefix filter with positions),
+so no pair of a bucket is left out.
 
 Cases: documents without words (null or empty texts too) have no shingles and are linked
 with nothing; fewer words than a shingle make one shingle of all words; any length is
@@ -38,6 +40,8 @@ U64 = np.uint64
 BINS, BANDS = 128, 32
 #: Distance to the second band of a bucket's parts, one round each.
 OFFSETS = (1, 5, 14)
+#: Counters of how many documents have a shingle, which is all that the order of shingles needs.
+SLOTS = 1 << 18
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +155,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _slot(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & U64(SLOTS - 1)).astype(np.int64)
+
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(w, id, n, at, component): the shingles of each set that another of `percent` must share one of, rare ones first.
+
+    Sets come with their components. How rare a shingle is, a counter tells that it may share with
+    others: the order is the same for all sets, which is what counts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                np.add.at(total, _slot(np.frombuffer(raw, "<u8")), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([as_long(some), as_long(total[some])], ["slot", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
+        for batch in batches:
+            ids, of, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for i, x in enumerate(raw):
+                w = np.frombuffer(x, "<u8")
+                n = len(w)
+                most = n - -(-percent * n // 100) + 1
+                first = w[np.lexsort((w, often[_slot(w)]))[:most]]
+                same = lambda v: as_long(np.full(len(first), v))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([as_long(first.view(np.int64)), same(ids[i]), same(n), as_long(np.arange(len(first))), same(of[i])], ["w", "id", "n", "at", "component"])
+
+    return sets.select("id", "component", "set").mapInArrow(run, "w long, id long, n long, at long, component long")
+
+
+def _left_over(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of different components that may be similar enough, by an exact prefix filter."""
+    first = settle(_rare_first(sets, percent))
+    # Of a shingle's list, its largest component is not compared with itself.
+    per = first.groupBy("w", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per.groupBy("w").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", F.col("top.component").alias("top"))
+    lists = settle(split_join(first, mixed, ["w"]))
+    one = lists.where("component <> top").select("w", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "at", "component")])
+    two = lists.select("w", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "component")])
+    # No larger overlap is possible than what follows the first common shingle.
+    enough = f"least(n1 - at1, n2 - at2) * {100 + percent} >= {percent} * (n1 + n2)"
+    h = F.xxhash64("w")
+    on = one.withColumn("__h", h).join(two.withColumn("__h", h), ["w", "__h"]).where("component1 <> component2").where(enough)
+    return on.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id and kept (true for the smallest id of a component).
 
@@ -187,11 +246,19 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         more = more.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more = settle(more)
         if more.isEmpty():
-            break
+            continue
         found = settle(_confirm(more, sets, percent))
         tested = tested.unionByName(more)
         links = links.unionByName(found)
     of = components(links)
+    placed = members.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = settle(split_join(placed, mixed, ["key"]).select("id", "component").distinct())
+    if not rest.isEmpty():
+        more = settle(_left_over(sets.join(rest, "id"), percent).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.unionByName(settle(_confirm(more, sets, percent)))
+            of = components(links)
     named = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = split_join(rows, named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))

@@ -231,6 +231,20 @@ def test_near_duplicates(spark, texts, none, size):
         assert neardup.link(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_inside_a_template_family(spark, size):
+    """A linked pair shares its template only, and in each of its buckets are strangers of smaller ids on the same template."""
+    rng = random.Random(size)
+    templates = [prose(rng, 130) for _ in range(4)]
+    strangers = [f"{t} {prose(rng, 40)}" for t in templates for _ in range(60)]
+    every = [*strangers, *[f"{t} {prose(rng, 14)}" for t in templates for _ in range(2)]]
+    sets = {i: shingles_plainly(t, size) for i, t in enumerate(every)}
+    want = linked_plainly(sets, 80)
+    assert sum(want[i] != i for i in sets) == 4
+    got = {r.doc_id: r for r in neardup.link(make(spark, every), size=size).collect()}
+    assert {i: (r.component_id, r.kept) for i, r in got.items()} == {i: (want[i], want[i] == i) for i in sets}
+
+
 def test_near_duplicates_without_ids_and_with_one_twice(spark):
     rng = random.Random(3)
     a, b = prose(rng, 60), prose(rng, 60)
