@@ -8,11 +8,15 @@ each other, and keep the best of what each vector has seen, until next to nothin
 changes. Edges at or above the threshold, confirmed in double precision, are links and
 make components. A list that is full of links is saturated and may hide more; such
 lists are enlarged to the whole component: its members are compared in blocks, which
-yields every link inside it and needs no list.
+yields every link inside it and needs no list. Links between components whose both ends
+have saturated lists are searched exactly: blocks of such vectors are compared unless
+their centres are too far apart for any link.
 
 Recall is audited on every run: a bounded number of vectors is compared with all
-others. While too few of their links were found, the search is repeated with twice the
-neighbours and tables; if that does not help either, an error says so.
+others, some drawn from all vectors and some from those outside the largest component.
+The share of its links that was found is averaged over the vectors of each draw. While
+it is too small, the search is repeated with twice the neighbours and tables; if that
+does not help either, an error says so.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite components, are
 linked with nothing; vectors of different lengths are not linked; rows with a null id
@@ -203,6 +207,68 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(component, chunk, rows): the members of each component in blocks of about CHUNK."""
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    chunks = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)))
+    return settle(chunks.groupBy("component", "chunk").agg(F.collect_list(F.struct("id", "m", "x")).alias("rows")))
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for every two blocks of different components that hold a link, one such link."""
+
+    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
+        for batch in batches:
+            found = [[], [], [], []]
+            for component, chunk, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(b"".join(r["x"] for r in rows), "<f8").reshape(len(rows), -1)
+                c = x.sum(axis=0)
+                c = c / np.sqrt(c @ c) if c @ c > 0 else x[0]
+                for values, v in zip(found, (component, chunk, c.astype("<f8").tobytes(), float(np.arccos(np.clip(x @ c, -1, 1)).max())), strict=True):
+                    values.append(v)
+            yield pa.RecordBatch.from_arrays([as_long(found[0]), as_long(found[1]), pa.array(found[2], pa.binary()), pa.array(found[3], pa.float64())], ["component", "chunk", "centre", "radius"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
+        reach = float(np.arccos(threshold)) + 1e-6
+        for batch in batches:
+            out = []
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for size in {len(r["centre"]) for r in one}:
+                    p, q = ([r for r in side if len(r["centre"]) == size] for side in (one, two))
+                    if q:
+                        angle = np.arccos(np.clip(_wide(p) @ _wide(q).T, -1, 1))
+                        close = angle <= reach + np.array([r["radius"] for r in p])[:, None] + np.array([r["radius"] for r in q])
+                        out += [(p[i]["component"], p[i]["chunk"], q[j]["component"], q[j]["chunk"]) for i, j in zip(*np.nonzero(close), strict=True) if p[i]["component"] < q[j]["component"]]
+            yield pa.RecordBatch.from_arrays([as_long([r[i] for r in out]) for i in range(4)], ["component", "chunk", "component2", "chunk2"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("vectors")
+        for batch in batches:
+            a, b = [], []
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = (np.frombuffer(b"".join(r["x"] for r in side), "<f8").reshape(len(side), -1) for side in (one, two))
+                sim = x @ y.T
+                i, j = np.unravel_index(sim.argmax(), sim.shape)
+                if sim[i, j] >= threshold:
+                    a.append(min(one[i]["id"], two[j]["id"]))
+                    b.append(max(one[i]["id"], two[j]["id"]))
+            yield pa.RecordBatch.from_arrays([as_long(a), as_long(b)], ["a", "b"])
+
+    blocks = _blocks(members)
+    of = settle(blocks.select("component", "chunk", "rows").mapInArrow(centres, "component long, chunk long, centre binary, radius double"))
+    groups = -(-of.count() // CHUNK)
+    dealt = settle(of.groupBy(F.pmod(F.xxhash64("component", "chunk"), F.lit(max(1, groups))).alias("g")).agg(F.collect_list(F.struct("component", "chunk", "centre", "radius")).alias("one")))
+    close = settle(dealt.select("one").crossJoin(dealt.select(F.col("one").alias("two"))).mapInArrow(near, "component long, chunk long, component2 long, chunk2 long"))
+    other = blocks.select(F.col("component").alias("component2"), F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"))
+    return settle(close.join(blocks, ["component", "chunk"]).join(other, ["component2", "chunk2"]).select("rows", "rows2").mapInArrow(compare, "a long, b long"))
+
+
+def _wide(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["centre"] for r in rows), "<f8").reshape(len(rows), -1)
+
+
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(id, others): the members of the same component that are linked with each, with multiplicity; in blocks."""
 
@@ -229,9 +295,7 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([as_long(np.concatenate(ids)), as_long(np.concatenate(others))], ["id", "others"])
 
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    chunks = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)))
-    chunks = settle(chunks.groupBy("component", "chunk").agg(F.collect_list(F.struct("id", "m", "x")).alias("rows")))
+    chunks = _blocks(members)
     other = chunks.select("component", F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"))
     pairs = chunks.join(other, "component").where("chunk <= chunk2").select((F.col("chunk") == F.col("chunk2")).alias("same"), "rows", "rows2")
     return pairs.mapInArrow(run, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
@@ -270,8 +334,15 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     bound_batches(vectors.sparkSession)
     nodes = settle(_nodes(vectors, vec_id, embedding))
     for attempt in range(tries):
-        edges = settle(_confirmed(graph(nodes, k << attempt, tables << attempt), nodes, threshold))
+        near = graph(nodes, k << attempt, tables << attempt)
+        edges = settle(_confirmed(near, nodes, threshold))
         of = components(edges)
+        full = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where(F.col("n") >= k << attempt).where(F.col("worst") >= threshold - 1e-3)
+        saturated = full.select(F.col("a").alias("id")).join(of.withColumnRenamed("node", "id"), "id").join(nodes, "id").select("component", "id", "m", "x")
+        more = _across(saturated, threshold)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            of = components(edges)
         links = settle(_counts(nodes.join(of.withColumnRenamed("node", "id"), "id").select("component", "id", "m", "x"), threshold))
         found, true = audit(nodes, links, threshold)
         said(f"audit: {found} of {true} links")

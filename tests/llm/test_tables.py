@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -65,6 +66,25 @@ def test_vectors(spark):
     assert vectors.link(df.limit(0)).count() == 0
 
 
+def test_vectors_link_dense_groups(spark):
+    """Lists full of a group's own members hide the links to another group."""
+    rng = np.random.default_rng(5)
+    d = 64
+    axes = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    centres = [axes[0], 0.93 * axes[0] + (1 - 0.93**2) ** 0.5 * axes[1], axes[2]]
+    rows = [c + rng.normal(0, 0.015, d) for c in centres for _ in range(60)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    want = [(i, n, c) for (i, _), (n, c) in zip(rows, vectors_linked_plainly(rows, 0.9), strict=True)]
+    assert {c for _, _, c in want} == {0, 120}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    nodes = vectors._nodes(df, "vec_id", "embedding")
+    groups = nodes.withColumn("component", (F.col("id") / 60).cast("long") * 60).select("component", "id", "m", "x")
+    across = vectors._across(groups, 0.9).collect()
+    assert across and {(r.a // 60, r.b // 60) for r in across} == {(0, 1)}
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.link(df, k=4, tables=1).collect())
+    assert got == want
+
+
 def test_urls(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/")]
     cases = {
