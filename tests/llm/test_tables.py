@@ -85,6 +85,18 @@ def test_vectors_link_dense_groups(spark):
     assert got == want
 
 
+def test_audit_sees_small_groups(spark):
+    """All links of one hot group found and none of the small ones."""
+    rng = np.random.default_rng(6)
+    hot = [rng.standard_normal(32)] * 40
+    small = [c for c in rng.standard_normal((10, 32)) for _ in range(2)]
+    rows = [(i, [float(x) for x in v + rng.normal(0, 0.02, 32)]) for i, v in enumerate([*hot, *small])]
+    nodes = vectors._nodes(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), "vec_id", "embedding")
+    of = spark.createDataFrame([(i, 0) for i in range(40)], "node bigint, component bigint")
+    links = spark.createDataFrame([(i, 39, 39) for i in range(40)], "id bigint, others bigint, pairs bigint")
+    assert vectors.audit(nodes, links, of, 0.9) == (pytest.approx(40 / 60), 0.0)
+
+
 def test_urls(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/")]
     cases = {
