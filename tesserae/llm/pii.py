@@ -59,8 +59,9 @@ _GAP = r"(?:[\x20\t\r\n]*[,.;/()-]{0,2}[\x20\t\r\n]*)"
 _DOTS = "|".join(DOT_WORDS)
 #: Six or more words for digits or dots in a row, perhaps mixed with written digits and after a plus.
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)}|\+){_GAP})?(?:{_DIGIT_ALT}|[0-9])(?:{_GAP}(?<!\w)(?:{_DIGIT_ALT}|{_DOTS}|[0-9]+)(?!\w)){{5,}}", re.IGNORECASE)
-#: Cheap sign that SPELLED may match: two digit words side by side or around a dot.
-SPELLED_SIGN = re.compile(rf"\b(?:{_DIGIT_ALT})[^\w]+(?:{_DIGIT_ALT}|{_DOTS})[^\w]+(?:{_DIGIT_ALT})\b", re.IGNORECASE)
+#: Cheap sign of every match of SPELLED that is not of written digits only: a digit word beside a digit word,
+#: a dot or a written digit, or a plus word before one.
+SPELLED_SIGN = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_ALT})[^\w]+(?:{_DIGIT_ALT}|{_DOTS}|[0-9])|(?:{_DOTS}|[0-9]+)[^\w]+(?:{_DIGIT_ALT})(?!\w)|(?:{'|'.join(PLUS_WORDS)})[^\w]+[0-9])", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"({'|'.join(PLUS_WORDS)})|({_DIGIT_ALT})|([0-9+])|({_DOTS})|(.)", re.IGNORECASE | re.DOTALL)
 _WRAP = lambda words, sign: rf"(?:\s*[\[({{<]\s*(?:{'|'.join(words)}|{sign})\s*[\])}}>]\s*)"
 _BARE = lambda words: rf"(?:\s+(?:{'|'.join(words)})\s+)"
@@ -183,6 +184,11 @@ def _spelled(m: re.Match) -> str:
     return "+" if m[1] else _DIGIT[word] if m[2] else word if m[3] else "." if m[4] else ""
 
 
+def _is_spelled(m: re.Match) -> bool:
+    """Written digits alone are a list of numbers."""
+    return SPELLED_SIGN.search(m[0]) is not None
+
+
 def _lettered(m: re.Match) -> str:
     return "0" if m[1] else "1" if m[2] else m[0]
 
@@ -219,10 +225,12 @@ def disguised(text: str, flags: int = 15) -> list[tuple[int, int, int]]:
     if SPELLED_SIGN.search(low):
         # A spelled run of 9 to 15 digits without a plus sign is a phone number, if it is no card number.
         for m in SPELLED.finditer(view.text):
+            if not _is_spelled(m):
+                continue
             digits = "".join(map(_spelled, SPELLED_PART.finditer(m[0])))
             if len(set(digits)) > 2 and digits.isdigit() and 9 <= len(digits) <= 15 and not (len(digits) >= 12 and luhn(digits)):
                 found.append((view.start[m.start()], 3, view.end[m.end() - 1]))
-        rewritten(SPELLED, SPELLED_PART, _spelled)
+        rewritten(SPELLED, SPELLED_PART, _spelled, _is_spelled)
     if any(c.isdigit() for c in view.text) if flags & 8 or changed else flags & 1:
         rewritten(LETTERED, LETTERED_PART, _lettered, _mostly_digits)
     if " @" in view.text or "@ " in view.text:

@@ -422,6 +422,21 @@ def test_disguises_map_back(text, want):
         assert " ".join(f"{pii.KINDS[k]}:{text[a:b]}" for a, k, b in spans) == want
 
 
+MIXED = [
+    ("call five 5 five 0 one 2 three 4 six 7 now", "phone:five 5 five 0 one 2 three 4 six 7"),
+    ("plus 1 five five 5 two three 4 six seven 8 9", "phone:plus 1 five five 5 two three 4 six seven 8 9"),
+    ("+49 1 5 eins zwei 3 4 drei vier 5 6", "phone:+49 1 5 eins zwei 3 4 drei vier 5 6"),
+    ("four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1", "card:four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+    ("host 1 dot two dot 3 dot four", "ip:1 dot two dot 3 dot four"),
+    ("one 1, then 10, 20, 30, 40, 50, 60 and so on", ""),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), MIXED)
+def test_words_mixed_with_digits(text, want):
+    assert " ".join(f"{pii.KINDS[k]}:{text[a:b]}" for a, k, b in pii.find(text)[1]) == want
+
+
 @given(st.text("0123456789 .@+-ab()", max_size=60))
 @settings(deadline=None, max_examples=300)
 def test_plain_spans(text):
