@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, Words, as_long, block_count, bound_batches, enter, flat, lower_ascii, mix, pieces, trim
+from .kit import Words, as_long, block_count, bound_batches, enter, flat, hashes, lower_ascii, mix, pieces, trim
 from .packed import cut, packed, packed_keys, part_of, rows_of, unpacked, unpacked_keys
 
 U64 = np.uint64
@@ -48,19 +48,19 @@ class Tokens:
     def __init__(self, table: pa.Table):
         data, offsets = flat(table.column("__text"))
         n = len(offsets) - 1
-        hashes, counts = [], []
+        found, counts = [], []
         for a, b in pieces(offsets):
             part = lower_ascii(data[offsets[a] : offsets[b]])
             words = Words(part, offsets[a : b + 1] - offsets[a])
-            hashes.append(Rolling(part).of(words.start, words.end))
+            found.append(hashes(part, words.start, words.end))
             counts.append(words.count)
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.edges = np.concatenate(([0], np.cumsum(count + 1)))
         self.word = np.full(self.edges[-1], END, U64)
         inner = np.ones(self.edges[-1], bool)
         inner[self.edges[1:] - 1] = False
-        if hashes:
-            self.word[inner] = np.concatenate(hashes)
+        if found:
+            self.word[inner] = np.concatenate(found)
         self.history = np.empty_like(self.word)
         self.history[1:] = self.word[:-1]
         if n:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -37,19 +38,46 @@ def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: spark.checkpoint.dir, or one of our own where the session names none."""
+    """The checkpoint folder: spark.checkpoint.dir, or one of our own where the session names none.
+
+    Only a session within one process may go without: executors elsewhere cannot read the driver's folders.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and cut its lineage."""
-    shared_folder(df.sparkSession)
+    """Write a result to the shared checkpoint folder and cut its lineage.
+
+    What earlier steps have left in shuffle files is no longer needed then. Spark removes those files when the
+    driver's collector finds their plans gone, so it is asked to look.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
+def forget(*settled: DataFrame) -> None:
+    """Remove the files of settled results that nothing reads any more."""
+    for df in settled:
+        spark = df.sparkSession
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (at := plan.rdd().getCheckpointFile()).isDefined():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join for which both sides are exchanged, so that Spark can split a hot key's rows at run time.
 
@@ -115,7 +143,10 @@ def powers(step: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring of a byte array, from prefix sums modulo 2**64."""
+    """Hashes of windows of a byte array, from prefix sums modulo 2**64.
+
+    Different strings of a regular pattern may share one: good for fingerprints that are compared in full later.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -126,12 +157,6 @@ class Rolling:
         np.cumsum(terms, out=self.sums[1:])
         self.back = powers(_BACK, n + 1)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = self.sums[end]
-        h -= self.sums[start]
-        h *= self.back[start]
-        return mix(h)
-
     def windows(self, k: int) -> np.ndarray:
         """Of all k bytes long substrings, by their start."""
         h = self.sums[k:] - self.sums[:-k]
@@ -139,6 +164,33 @@ class Rolling:
         return mix(h)
 
 
+#: Longer strings are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of substrings, eight bytes after eight bytes, each step scrambled: no two inputs of a simple
+    pattern share one, as they may with prefix sums."""
+    size = end - start
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    alive = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, own = start[alive], size[alive], h[alive]
+    while len(alive):
+        own ^= lanes[at] & _MASK[np.minimum(left, 8)]
+        own *= U64(0x9E3779B97F4A7C15)
+        own = mix(own)
+        h[alive] = own
+        more = np.flatnonzero(left > 8)
+        alive, at, left, own = alive[more], at[more] + 8, left[more] - 8, own[more]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
+    return h
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column back to back, and where each text starts and ends. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

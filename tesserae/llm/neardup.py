@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import Rolling, Words, as_long, bound_batches, enter, flat, lower_ascii, mix, pieces, settle, split_join
+from .kit import Words, as_long, bound_batches, enter, flat, hashes, lower_ascii, mix, pieces, settle, split_join
 
 U64 = np.uint64
 BINS, BANDS = 128, 32
@@ -47,8 +47,7 @@ SLOTS = 1 << 18
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of texts that stand back to back: 64-bit hashes and the text of each, in the order of texts."""
     words = Words(data, offsets)
-    rolling = Rolling(lower_ascii(data))
-    word = rolling.of(words.start, words.end)
+    word = hashes(lower_ascii(data), words.start, words.end)
     n = len(word)
     chain = np.zeros(n, U64)
     left = words.first[1:][words.text] - np.arange(n)  # words from here to the text's end

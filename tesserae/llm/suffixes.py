@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Rolling, as_long, block_count, bound_batches, enter, flat, mix, pieces, trim
+from .kit import Rolling, as_long, block_count, bound_batches, column, enter, flat, hashes, mix, pieces, trim
 from .packed import cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
@@ -181,24 +181,23 @@ class Block:
             data = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in order])
         self.data, self.width = data, width
         self.order = order
-        start, end, key, mark = [], [], [], []
+        start, end, key = [], [], []
         for a, b in pieces(self.offsets):
-            for x, part in zip(self._runs(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]), (start, end, key, mark), strict=True):
-                part.append(x + self.offsets[a] if part is start or part is end else x)
+            for x, part in zip(self._runs(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]), (start, end, key), strict=True):
+                part.append(x + self.offsets[a] if part is not key else x)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.start, self.end, self.key, self.mark = join(start, np.int64), join(end, np.int64), join(key, U64), join(mark, U64)
+        self.start, self.end, self.key = join(start, np.int64), join(end, np.int64), join(key, U64)
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
 
     def _runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Runs of windows: first window's start, last window's end, anchor, and a hash of the bytes in between."""
+        """Runs of windows: first window's start, last window's end, anchor."""
         width = self.width
         k = max(4, width // 2 - 1)
         windows = len(data) - width + 1
         if windows <= 0:
             none = np.zeros(0, np.int64)
-            return none, none, none.astype(U64), none.astype(U64)
-        rolling = Rolling(data)
-        least = _sliding_min(rolling.windows(k), width - k + 1)
+            return none, none, none.astype(U64)
+        least = _sliding_min(Rolling(data).windows(k), width - k + 1)
         whole = np.zeros(windows + 1, np.int32)  # windows that lie in one text
         ok = np.diff(offsets) >= width
         np.add.at(whole, offsets[:-1][ok], 1)
@@ -213,7 +212,7 @@ class Block:
         stop[:-1] = new[1:] | ~inside[1:]
         last = np.flatnonzero(stop & inside)
         # The least of many hashes is small; scrambled once more, anchors spread evenly over parts.
-        return begin, last + width, mix(least[begin]), rolling.of(begin, last + width)
+        return begin, last + width, mix(least[begin])
 
 
 def _anchors(width: int, parts: int) -> Callable:
@@ -253,6 +252,15 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return rows_of("block part payload", rows)
 
 
+def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct substring, and which of these each one equals: by two hashes, 128 bits in all."""
+    one, two = hashes(data, start, end, 1), hashes(data, start, end, 2)
+    _, first, of = np.unique(one, return_index=True, return_inverse=True)
+    if (two[first][of] != two).any():
+        _, first, of = np.unique(np.stack((one, two), axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, of.reshape(-1)
+
+
 class Segments:
     """A block's runs whose anchor is shared, and the distinct strings among them, by bucket."""
 
@@ -265,9 +273,7 @@ class Segments:
             if p in said:
                 bits[a:b] = np.unpackbits(np.frombuffer(said[p], np.uint8), count=b - a)
         self.rows = np.flatnonzero(bits[np.searchsorted(keys, block.key)]) if len(keys) else np.zeros(0, np.int64)
-        size = block.end[self.rows] - block.start[self.rows]
-        mark = block.mark[self.rows] ^ size.astype(U64)
-        _, first, self.of = np.unique(mark, return_index=True, return_inverse=True)
+        first, self.of = _equal(block.data, block.start[self.rows], block.end[self.rows])
         fine = part_of(block.key[self.rows[first]], parts * RANGES)
         order = np.argsort(fine, kind="stable")  # distinct strings, bucket by bucket and range by range
         place = np.empty(len(order), np.int64)
@@ -456,7 +462,7 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         return pa.table([mine.column("__id").take(order), pa.array(texts, pa.string()), *(mine.column(f"__{i}").take(order) for i in range(len(others)))], names=["__id", "__text", *(f"__{i}" for i in range(len(others)))])
 
     schema = "__id long, __text string" + "".join(f", __{i} {kinds[n]}" for i, n in enumerate(others))
-    more = [F.col(n).alias(f"__{i}") for i, n in enumerate(others)]
+    more = [column(n).alias(f"__{i}") for i, n in enumerate(others)]
     out = _removed(docs, doc_id, text, width, block_bytes, finish, schema, *more)
     back = {doc_id: F.col("__id").cast(kinds[doc_id]), text: F.col("__text")} | {n: F.col(f"__{i}") for i, n in enumerate(others)}
     return out.select(*(back[n].alias(n) for n in names))

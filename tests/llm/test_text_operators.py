@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import bpe, katz, neardup, packing, pii, quality, suffixes, tokens
+from tesserae.llm import bpe, katz, kit, neardup, packing, pii, quality, suffixes, tokens
 from tesserae.llm.components import components
 
 from .conftest import LOWER, make, prose
@@ -459,3 +459,41 @@ def test_personal_data(spark, docs, texts, none):
     assert masked.columns == every.columns
     assert masked.where("text like '%joe%'").count() == 0
     assert pii.detect(none).count() == pii.mask(none).count() == 0
+
+
+# ---- strings of a regular pattern, and very long ones ----
+
+
+def thue_morse(n):
+    """n bytes of the sequence whose prefix sums cancel modulo powers of two, and its complement."""
+    bits = np.zeros(n, np.uint8)
+    for i in range(1, n):
+        bits[i] = bits[i // 2] ^ (i & 1)
+    return (bits + 97).tobytes().decode(), (98 - bits).tobytes().decode()
+
+
+def test_strings_of_a_pattern_stay_apart(spark):
+    one, two = thue_morse(1024)
+    data = np.frombuffer(f"{one}\n{two}\n{one} {two} {one}".encode(), np.uint8)
+    found = quality.measure(data, np.array([0, len(data)]))
+    assert (found["n_dup_lines"][0], found["n_stutters"][0]) == (0, 0)
+    rng = random.Random(5)
+    tail = prose(rng, 4)
+    rows = neardup.link(make(spark, [f"{one} {tail}", f"{two} {tail}", f"{one} {tail}"]), size=4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 0}
+    raw = [(i, t.encode()) for i, t in enumerate([one, two, f"x{one}", two[:200]])]
+    want = {i: sum(gone) for (i, _), gone in zip(raw, removed_plainly(raw, 50), strict=True)}
+    assert {r.doc_id: r.n_removed for r in suffixes.spans(make(spark, [t.decode() for _, t in raw])).collect()} == want
+    scores = {r.doc_id: r.n_known for r in katz.score(make(spark, [one, two]), F.col("doc_id") == 1).collect()}
+    assert scores == {0: 2, 1: 1}
+
+
+@given(st.lists(st.binary(max_size=40), max_size=20), st.integers(0, 3))
+@settings(deadline=None)
+def test_hashes_follow_content(strings, seed):
+    strings = [*strings, b"a" * 300, b"a" * 300, b"a" * 299, b"", b"a\0", b"a"]
+    ends = np.cumsum([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    found = kit.hashes(data, ends - [len(s) for s in strings], ends, seed).tolist()
+    assert len(set(found)) == len(set(strings))
+    assert len({*zip(strings, found, strict=True)}) == len(set(strings))
