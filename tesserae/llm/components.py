@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import settle, split_join
+from .kit import forget, settle, split_join
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return split_join(down, least, ["a"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _open(links: DataFrame) -> bool:
+    """Whether any node has two smaller neighbours, or a smaller and a larger one: else all are stars."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    of = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(of.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another; a component is named after its smallest node.
 
@@ -35,14 +42,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     links = settle(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    state = None
-    for _ in range(rounds):
-        links = settle(_small(_large(links)))
-        mark = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == mark:
-            break
-        state = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    while _open(links):
+        if not (rounds := rounds - 1):
+            raise RuntimeError("components did not settle in the rounds allowed")
+        before, links = links, settle(_small(_large(links)))
+        forget(before)
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -7,14 +7,16 @@ make bands, and documents that agree in a band share a bucket.
 
 Documents with equal shingle sets are one class first, so copies never meet pairwise.
 In a bucket classes are joined to one centre only (a star), which bounds the candidates
-by the buckets' sizes; every candidate is confirmed on the two full sets. A bucket that
-still holds several components after that may hide links between its other members
-(a passage that many documents share puts strangers in one bucket). Such buckets are
-split by a second band, once for each of OFFSETS, and each part gets a star of its own
-between its components. The members of buckets that hold several components even then
-are joined exactly: shingles have one order, rare ones first, and two sets that are
-similar enough share one of their first few shingles (a prefix filter with positions),
-so no pair of a bucket is left out.
+by the buckets' sizes; every candidate is confirmed on the two full sets. First each
+class is compared with the smallest of its centres, which links most of what belongs
+together; then with those of its other centres that are still in another component.
+
+A bucket that still holds several components after that may hide links between members
+other than its centre (a passage that many documents share puts strangers in one
+bucket). The members of all such buckets are joined exactly: shingles have one order,
+rare ones first, and two sets that are similar enough share one of their first few
+shingles (a prefix filter with positions), so no pair of a bucket is left out, and
+strangers that differ in their rare shingles do not meet.
 
 Cases: documents without words (null or empty texts too) have no shingles and are linked
 with nothing; fewer words than a shingle make one shingle of all words; any length is
@@ -34,12 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import Words, as_long, bound_batches, enter, flat, hashes, lower_ascii, mix, pieces, settle, split_join
+from .kit import Words, as_long, bound_batches, enter, flat, forget, hashes, lower_ascii, mix, pieces, settle, split_join
 
 U64 = np.uint64
 BINS, BANDS = 128, 32
-#: Distance to the second band of a bucket's parts, one round each.
-OFFSETS = (1, 5, 14)
 #: Counters of how many documents have a shingle, which is all that the order of shingles needs.
 SLOTS = 1 << 18
 
@@ -200,13 +200,21 @@ def _left_over(sets: DataFrame, percent: int) -> DataFrame:
     per = first.groupBy("w", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = per.groupBy("w").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", F.col("top.component").alias("top"))
     lists = settle(split_join(first, mixed, ["w"]))
-    one = lists.where("component <> top").select("w", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "at", "component")])
-    two = lists.select("w", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "component")])
+    forget(first)
+    # The smaller of two sets needs to be found by fewer of its shingles than the larger one is looked up by.
+    few = F.expr(f"at < n - {2 * percent} * n div {100 + percent} + if({2 * percent} * n % {100 + percent} = 0, 1, 0)")
+    one = lists.where(few).select("w", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "at", "component", "top")])
+    two = lists.select("w", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "component", "top")])
     # No larger overlap is possible than what follows the first common shingle.
     enough = f"least(n1 - at1, n2 - at2) * {100 + percent} >= {percent} * (n1 + n2)"
+    smaller = "n1 < n2 OR n1 = n2 AND id1 < id2"
     h = F.xxhash64("w")
-    on = one.withColumn("__h", h).join(two.withColumn("__h", h), ["w", "__h"]).where("component1 <> component2").where(enough)
-    return on.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    meet = lambda x, y: x.withColumn("__h", h).join(y.withColumn("__h", h), ["w", "__h"])
+    both = meet(one.where("component1 <> top1"), two).unionByName(meet(one.where("component1 = top1"), two.where("component2 <> top2")))
+    on = both.where("component1 <> component2").where(smaller).where(enough)
+    out = settle(on.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct())
+    forget(lists)
+    return out
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, broadcast_bytes: int = 8 << 20) -> DataFrame:
@@ -219,46 +227,44 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     some = rows.where("n > 0 AND id IS NOT NULL")
     # Classes of equal sets, named after their smallest id.
     classes = settle(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    heads = settle(some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "keys"))
-    # Narrow rows go through the two large shuffles; what else a member needs joins those few that share a bucket.
-    bucket = heads.select("id", F.posexplode("keys").alias("band", "key")).select("key", "id", F.col("band").cast("byte").alias("band"))
-    shared = bucket.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    seconds = [F.col("keys")[(F.col("band") + step) % BANDS].alias(f"k{i}") for i, step in enumerate(OFFSETS)]
-    members = settle(split_join(bucket, shared, ["key"]).join(heads, "id").select("key", "id", "n", "a", *seconds))
-    sizes = members.select(F.col("a"), F.col("id").alias("b"), F.col("n").alias("nb")).where("a < b").distinct()
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  no larger overlap is possible
-    heads_n = heads.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    # Pairs are distinct already, but for ids that rows share; made distinct after it, the join could not be split.
-    pairs = settle(sizes.join(heads_n, "a").where(near(F.col("na"), F.col("nb"))).select("a", "b"))
+    heads = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # Narrow rows go through the two large shuffles.
+    bucket = settle(heads.select("id", "n", F.explode("keys").alias("key")))
+    shared = bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.max("id").alias("z")).where("centre.id < z").select("key", "centre")
+    members = settle(split_join(bucket, shared, ["key"]).select("key", "id", "n", F.col("centre.id").alias("a"), F.col("centre.n").alias("na")))
+    forget(bucket)
+    # No larger overlap is possible than the smaller set.
+    near = f"a < id AND least(n, na) * 100 >= greatest(n, na) * {percent}"
+    pairs = settle(members.where(near).select("a", F.col("id").alias("b")).distinct())
     wanted = settle(members.select("id").distinct())
     # The few ids go to the texts while they are few enough, else both are shuffled.
     few = wanted.count() * 8 <= broadcast_bytes
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = settle(_sets(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), size))
-    links = settle(_confirm(pairs, sets, percent))
-    tested = pairs
-    for second in (f"k{i}" for i in range(len(OFFSETS))):
-        of = components(links)
-        placed = members.select("key", F.col(second).alias("second"), "id", "n").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("key", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("id", "n", "component")).alias("centre")).where("lo < hi").select("key", "second", "centre")
-        more = split_join(placed, mixed, ["key", "second"]).where("component <> centre.component").where(near(F.col("n"), F.col("centre.n")))
-        more = more.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = settle(more)
-        if more.isEmpty():
-            continue
-        found = settle(_confirm(more, sets, percent))
-        tested = tested.unionByName(more)
-        links = links.unionByName(found)
+    first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = settle(_confirm(first, sets, percent))
     of = components(links)
-    placed = members.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Pairs whose ends are in one component need no look.
+    named = lambda end: of.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = split_join(split_join(pairs.join(first, ["a", "b"], "left_anti"), named("a"), ["a"], "left"), named("b"), ["b"], "left")
+    apart = settle(apart.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"))
+    if not apart.isEmpty():
+        links = links.unionByName(settle(_confirm(apart, sets, percent)))
+        of = components(links)
+    tested = first.unionByName(apart)
+    forget(pairs)
+    placed = split_join(members.select("key", "id"), of.withColumnRenamed("node", "id"), ["id"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = settle(split_join(placed, mixed, ["key"]).select("id", "component").distinct())
+    forget(members)
     if not rest.isEmpty():
         more = settle(_left_over(sets.join(rest, "id"), percent).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.unionByName(settle(_confirm(more, sets, percent)))
             of = components(links)
+        forget(more)
+    forget(sets, rest, first, apart, wanted)
     named = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = split_join(rows, named, ["n", "s1", "s2"], "left")
+    out = split_join(rows.drop("keys"), named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
