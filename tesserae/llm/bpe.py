@@ -16,7 +16,13 @@ vocabulary, one step a byte.
 
 Solved words stay in the Python worker in two generations: once the young one holds
 ``max_words`` words it becomes the old one, whose words move back when they are met
-again (a memory bound only: a word that was dropped is simply solved again).
+again (a memory bound only: a word that was dropped is simply solved again).  Words of
+more than LONG characters are solved whole, too, but not kept.
+
+Cases: an empty text has no ids; a text or word of any length is encoded whole, in time
+that grows with its length; words that occur again, in one text or another, have the same ids;
+strings of special tokens are one id each.  Files with settings that this encoder does
+not follow (a normalizer, another splitting, tokens that swallow blanks) are refused.
 """
 
 from __future__ import annotations
@@ -52,6 +58,27 @@ def _printable_bytes() -> dict[str, int]:
 
 #: Bytes of a shared prefix that are compared at once.
 SEEN = 24
+#: Longer words are not kept.
+LONG = 1000
+#: Two ids make one key.
+ID_BITS = 20
+
+
+def _refuse_others(spec: dict) -> None:
+    """An error for a file whose settings would lead to other ids than this encoder's."""
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    plain = {
+        "a BPE model": model.get("type", "BPE") == "BPE",
+        "no normalizer": spec.get("normalizer") is None,
+        "byte-level splitting without a prefix space": split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True),
+        "a byte-level decoder": decoder.get("type") == "ByteLevel",
+        "no dropout, affixes, byte fallback or ignored merges": not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added tokens that stand for their own characters": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")),
+        f"ids below {1 << ID_BITS}": max([*model["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) < 1 << ID_BITS,
+    }
+    for what, holds in plain.items():
+        if not holds:
+            raise ValueError(f"the tokenizer file must have {what}")
 
 
 def _shared_prefixes(words: list[bytes]) -> list[int]:
@@ -69,6 +96,7 @@ class TrieBPE:
     def __init__(self, path: str, max_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         alphabet = _printable_bytes()
         to_bytes = lambda s: bytes(alphabet[c] for c in s)
         vocab = {to_bytes(t): i for t, i in spec["model"]["vocab"].items()}
@@ -132,7 +160,7 @@ class TrieBPE:
     def _is_stable(self, seam: int) -> bool:
         """True if two tokens stay apart: undo their merges, latest first, and see that no earlier merge joins the seam."""
         made, rank, none = self.made, self.rank, 1 << 60
-        left, right, before = seam >> 20, seam & 0xFFFFF, none
+        left, right, before = seam >> ID_BITS, seam & (1 << ID_BITS) - 1, none
         while True:
             if rank.get((left, right), none) < before:
                 ok = False
@@ -175,19 +203,19 @@ class TrieBPE:
                     if long > depth:
                         last.append(token)
                         break
-                    seam = last[depth + 1 - long] << 20 | token
+                    seam = last[depth + 1 - long] << ID_BITS | token
                     ok = stable.get(seam)
                     if is_stable(seam) if ok is None else ok:
                         last.append(token)
                         break
             token = last[size]
             depth = size - lengths[token]
-            ids = packed[token]
+            ids = [packed[token]]
             while depth:
                 token = last[depth]
                 depth -= lengths[token]
-                ids = packed[token] + ids
-            table[text] = ids
+                ids.append(packed[token])
+            table[text] = ids[0] if len(ids) == 1 else b"".join(reversed(ids))
             before = word
 
     def split(self, text: str) -> list[str]:
@@ -215,7 +243,11 @@ class TrieBPE:
                 self.table[s] = struct.pack("<I", self.specials[s])
             self.learn(new - self.specials.keys())
         get = self.table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for word in new:
+            if len(word) > LONG:
+                del self.table[word]
+        return out
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
