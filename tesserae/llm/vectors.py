@@ -6,11 +6,11 @@ and then along a direction, and each is compared with the next few. Rounds of de
 then compare, around every vector, its neighbours and those it is a neighbour of with
 each other, and keep the best of what each vector has seen, until next to nothing
 changes. Edges at or above the threshold, confirmed in double precision, are links and
-make components. A list that is full of links is saturated and may hide more; such
-lists are enlarged to the whole component: its members are compared in blocks, which
-yields every link inside it and needs no list. Links between components whose both ends
-have saturated lists are searched exactly: blocks of such vectors are compared unless
-their centres are too far apart for any link.
+make components. A list that is full of links is saturated and may hide more. Inside a
+component such lists are enlarged to the whole of it: its members are compared in blocks,
+which yields every link and needs no list. For links to other components descent goes on
+among the vectors with saturated lists, whose new lists hold the best vector of each
+other component only, until it joins no more components.
 
 Recall is audited on every run: a bounded number of vectors is compared with all
 others, some drawn from all vectors and some from those outside the largest component.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import as_long, bound_batches, enter, settle, shuffle_parts
+from .kit import as_long, bound_batches, enter, forget, settle, shuffle_parts, split_join
 
 #: Vectors that the audit compares with all others.
 AUDITED = 256
@@ -79,52 +79,62 @@ def _projected(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("vectors")
         for batch in batches:
-            raw = batch.column(1).to_pylist()
+            raw = batch.column(2).to_pylist()
             for size in sorted(set(map(len, raw))):
                 rows = [i for i, r in enumerate(raw) if len(r) == size]
                 v = _normal([raw[i] for i in rows])
-                took = pa.array(rows)
+                own = batch.take(pa.array(rows)).columns
                 for t in range(tables):
                     p = v @ np.random.default_rng([seed, t, size]).standard_normal((v.shape[1], bits + 1)).astype("f4")
                     code = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([as_long(np.full(len(rows), t)), as_long(code), pa.array(p[:, bits].astype("f8")), batch.column(0).take(took), batch.column(1).take(took)], ["t", "code", "along", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([as_long(np.full(len(rows), t)), as_long(code), pa.array(p[:, bits].astype("f8")), *own], ["t", "code", "along", "id", "c", "v"])
 
-    return nodes.select("id", "v").mapInArrow(run, "t long, code long, along double, id long, v binary")
+    return nodes.select("id", "c", "v").mapInArrow(run, "t long, code long, along double, id long, c long, v binary")
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares each vector of a sorted table with the next few."""
+    """Compares each vector of a sorted table with the next few that are of other components, and not of one twice in a row."""
     tail = None
     for batch in batches:
         if tail is not None:
-            batch = pa.concat_batches([tail, batch]) if hasattr(pa, "concat_batches") else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
         n = batch.num_rows
-        raw, ids, t = batch.column(4).to_pylist(), batch.column(3).to_numpy(), batch.column(0).to_numpy()
+        if not n:
+            continue
+        t, ids, c, raw = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
         sizes = np.array([len(r) for r in raw])
+        runs = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1]))))
+        run = np.repeat(np.arange(len(runs)), np.diff(np.concatenate((runs, [n]))))
         out = [[], [], []]
         for step in range(1, NEAR + 1):
-            if n <= step:
-                break
-            ok = np.flatnonzero((sizes[:-step] == sizes[step:]) & (t[:-step] == t[step:]))
-            for size in np.unique(sizes[ok]):
-                i = ok[sizes[ok] == size]
-                a, b = _normal([raw[k] for k in i]), _normal([raw[k + step] for k in i])
-                out[0].append(ids[i])
-                out[1].append(ids[i + step])
-                out[2].append(np.einsum("ij,ij->i", a, b))
+            i = np.flatnonzero(run + step < len(runs))
+            j = runs[run[i] + step]
+            ok = (sizes[i] == sizes[j]) & (t[i] == t[j]) & (c[i] != c[j])
+            i, j = i[ok], j[ok]
+            for size in np.unique(sizes[i]):
+                p, q = i[sizes[i] == size], j[sizes[i] == size]
+                for part, values in zip(out, (p, q, np.einsum("ij,ij->i", _normal([raw[k] for k in p]), _normal([raw[k] for k in q]))), strict=True):
+                    part.append(values)
         if out[0]:
-            yield _edges(*(np.concatenate(x) for x in out))
-        tail = batch.slice(max(0, n - NEAR))
+            i, j, sim = (np.concatenate(x) for x in out)
+            yield _edges(np.concatenate((ids[i], ids[j])), np.concatenate((ids[j], ids[i])), np.concatenate((c[j], c[i])), np.concatenate((sim, sim)))
+        tail = batch.slice(max(0, n - CHUNK))
 
 
-def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([as_long(np.concatenate((a, b))), as_long(np.concatenate((b, a))), pa.array(np.concatenate((sim, sim)).astype("f4"))], ["a", "b", "sim"])
+EDGES = "a long, b long, cb long, sim float"
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each vector."""
-    once = edges.where("a <> b").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+def _edges(a: np.ndarray, b: np.ndarray, cb: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([as_long(a), as_long(b), as_long(cb), pa.array(sim.astype("f4"))], ["a", "b", "cb", "sim"])
+
+
+def _best(edges: DataFrame, k: int, apart: bool) -> DataFrame:
+    """The k best neighbours of each vector; `apart`: one of each component."""
+    once = edges.where("a <> b").groupBy("a", "b", "cb").agg(F.max("sim").alias("sim"))
+    order = (F.desc("sim"), "b")
+    if apart:
+        once = once.withColumn("r", F.row_number().over(Window.partitionBy("a", "cb").orderBy(*order))).where("r = 1").drop("r")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(*order))
     return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
@@ -145,7 +155,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
-    u, ids, worst, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+    u, ids, c, worst, raw = *(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist()
     starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
     counts = np.diff(np.concatenate((starts, [len(u)])))
     sizes = np.array([len(r) for r in raw])
@@ -153,45 +163,51 @@ def _compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     v = _normal(raw) if (sizes == sizes[0]).all() else np.stack([np.pad(np.frombuffer(r, "<f4"), (0, width - len(r) // 4)) for r in raw])
     most, step = counts.max(), max(1, 4_000_000 // int(counts.max() * (counts.max() + width)))
     for at in range(0, len(starts), step):
-        s, c = starts[at : at + step], counts[at : at + step]
-        slot = s[:, None] + np.minimum(np.arange(most), c[:, None] - 1)
-        real = np.arange(most) < c[:, None]
+        s, n = starts[at : at + step], counts[at : at + step]
+        slot = s[:, None] + np.minimum(np.arange(most), n[:, None] - 1)
+        real = np.arange(most) < n[:, None]
         block = v[slot]
         sim = np.matmul(block, block.transpose(0, 2, 1))
-        low = np.where(real, worst[slot], np.inf)
-        good = (sim > np.minimum(low[:, :, None], low[:, None, :])) & real[:, :, None] & real[:, None, :]
-        good &= (sizes[slot][:, :, None] == sizes[slot][:, None, :]) & (np.arange(most)[:, None] < np.arange(most))
+        # Each end of a pair hears of it if that improves its own list.
+        good = (sim > np.where(real, worst[slot], np.inf)[:, :, None]) & real[:, :, None] & real[:, None, :]
+        good &= (sizes[slot][:, :, None] == sizes[slot][:, None, :]) & (c[slot][:, :, None] != c[slot][:, None, :])
         g, i, j = np.nonzero(good)
         if len(g):
-            a, b, x = ids[slot[g, i]], ids[slot[g, j]], sim[g, i, j]
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1, return_index=True)
-            yield _edges(pair[0][0], pair[0][1], x[pair[1]])
+            p, q, x = slot[g, i], slot[g, j], sim[g, i, j]
+            _, first = np.unique(np.stack((ids[p], ids[q])), axis=1, return_index=True)
+            yield _edges(ids[p[first]], ids[q[first]], c[q[first]], x[first])
+
 
+def graph(nodes: DataFrame, k: int, tables: int, rounds: int = 8, seed: int = 17, inside: DataFrame | None = None) -> DataFrame:
+    """The neighbour graph of nodes (id, c, v): (a, b, cb, sim), up to k rows for each a, of other c than its own.
 
-def graph(nodes: DataFrame, k: int, tables: int, rounds: int = 8, seed: int = 17) -> DataFrame:
-    """The neighbour graph: (a, b, sim), up to k rows for each a."""
+    With the lists `inside` components (a, b) given, each list has one vector of any other component,
+    and descent goes through both kinds of lists.
+    """
+    apart = inside is not None
     n = nodes.count()
     bits = max(1, min(40, n.bit_length() - 4))
     parts = shuffle_parts(nodes.sparkSession)
     spread = _projected(nodes, tables, bits, seed).repartitionByRange(parts, "t", "code", "along").sortWithinPartitions("t", "code", "along")
-    best = settle(_best(spread.mapInArrow(_beside, "a long, b long, sim float"), k))
-    vector = nodes.select(F.col("id").alias("b"), "v")
+    best = settle(_best(spread.mapInArrow(_beside, EDGES), k, apart))
+    vector = nodes.select(F.col("id").alias("b"), "c", "v")
     for _ in range(rounds):
         worst = best.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         # Of those that a vector is a neighbour of, as many as it has neighbours; the rest meet elsewhere.
         order = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "b"))
         back = best.select(F.col("b").alias("u"), F.col("a").alias("b"), "sim").withColumn("r", order).where(F.col("r") <= k).select("u", "b")
-        around = best.select(F.col("a").alias("u"), "b").unionByName(back).unionByName(nodes.select(F.col("id").alias("u"), F.col("id").alias("b"))).distinct()
-        rows = around.join(vector, "b").join(worst.withColumnRenamed("a", "b"), "b", "left")
-        rows = rows.select("u", "b", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "v").repartition(parts, "u").sortWithinPartitions("u")
-        found = rows.mapInArrow(_local, "a long, b long, sim float")
-        # A pair comes in both directions; only the one whose list it improves counts.
-        better = found.join(worst, "a", "left").where(F.col("sim") > F.coalesce("worst", F.lit(-2.0))).select("a", "b", "sim").join(best, ["a", "b"], "left_anti")
-        better = settle(better.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+        around = best.select(F.col("a").alias("u"), "b").unionByName(back).unionByName(nodes.select(F.col("id").alias("u"), F.col("id").alias("b")))
+        if apart:
+            around = around.unionByName(inside.select(F.col("a").alias("u"), "b"))
+        rows = split_join(split_join(around.distinct(), vector, ["b"]), worst.withColumnRenamed("a", "b"), ["b"], "left")
+        rows = rows.select("u", "b", "c", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "v").repartition(parts, "u").sortWithinPartitions("u")
+        found = rows.mapInArrow(_local, EDGES).groupBy("a", "b", "cb").agg(F.max("sim").alias("sim"))
+        better = settle(found.join(best, ["a", "b"], "left_anti"))
         changed = better.count()
         if changed <= n * k * 0.001:
             break
-        best = settle(_best(best.unionByName(better), k))
+        before, best = best, settle(_best(best.unionByName(better), k, apart))
+        forget(before, better)
     return best
 
 
@@ -203,70 +219,34 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = edges.where(F.col("sim") >= threshold - 1e-3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = near.join(nodes.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    both = split_join(split_join(near, nodes.select(F.col("id").alias("a"), F.col("x").alias("xa")), ["a"]), nodes.select(F.col("id").alias("b"), F.col("x").alias("xb")), ["b"])
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(component, chunk, rows): the members of each component in blocks of about CHUNK."""
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    chunks = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)))
-    return settle(chunks.groupBy("component", "chunk").agg(F.collect_list(F.struct("id", "m", "x")).alias("rows")))
-
-
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): for every two blocks of different components that hold a link, one such link."""
-
-    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("vectors")
-        for batch in batches:
-            found = [[], [], [], []]
-            for component, chunk, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(b"".join(r["x"] for r in rows), "<f8").reshape(len(rows), -1)
-                c = x.sum(axis=0)
-                c = c / np.sqrt(c @ c) if c @ c > 0 else x[0]
-                for values, v in zip(found, (component, chunk, c.astype("<f8").tobytes(), float(np.arccos(np.clip(x @ c, -1, 1)).max())), strict=True):
-                    values.append(v)
-            yield pa.RecordBatch.from_arrays([as_long(found[0]), as_long(found[1]), pa.array(found[2], pa.binary()), pa.array(found[3], pa.float64())], ["component", "chunk", "centre", "radius"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("vectors")
-        reach = float(np.arccos(threshold)) + 1e-6
-        for batch in batches:
-            out = []
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for size in {len(r["centre"]) for r in one}:
-                    p, q = ([r for r in side if len(r["centre"]) == size] for side in (one, two))
-                    if q:
-                        angle = np.arccos(np.clip(_wide(p) @ _wide(q).T, -1, 1))
-                        close = angle <= reach + np.array([r["radius"] for r in p])[:, None] + np.array([r["radius"] for r in q])
-                        out += [(p[i]["component"], p[i]["chunk"], q[j]["component"], q[j]["chunk"]) for i, j in zip(*np.nonzero(close), strict=True) if p[i]["component"] < q[j]["component"]]
-            yield pa.RecordBatch.from_arrays([as_long([r[i] for r in out]) for i in range(4)], ["component", "chunk", "component2", "chunk2"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("vectors")
-        for batch in batches:
-            a, b = [], []
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = (np.frombuffer(b"".join(r["x"] for r in side), "<f8").reshape(len(side), -1) for side in (one, two))
-                sim = x @ y.T
-                i, j = np.unravel_index(sim.argmax(), sim.shape)
-                if sim[i, j] >= threshold:
-                    a.append(min(one[i]["id"], two[j]["id"]))
-                    b.append(max(one[i]["id"], two[j]["id"]))
-            yield pa.RecordBatch.from_arrays([as_long(a), as_long(b)], ["a", "b"])
-
-    blocks = _blocks(members)
-    of = settle(blocks.select("component", "chunk", "rows").mapInArrow(centres, "component long, chunk long, centre binary, radius double"))
-    groups = -(-of.count() // CHUNK)
-    dealt = settle(of.groupBy(F.pmod(F.xxhash64("component", "chunk"), F.lit(max(1, groups))).alias("g")).agg(F.collect_list(F.struct("component", "chunk", "centre", "radius")).alias("one")))
-    close = settle(dealt.select("one").crossJoin(dealt.select(F.col("one").alias("two"))).mapInArrow(near, "component long, chunk long, component2 long, chunk2 long"))
-    other = blocks.select(F.col("component").alias("component2"), F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"))
-    return settle(close.join(blocks, ["component", "chunk"]).join(other, ["component2", "chunk2"]).select("rows", "rows2").mapInArrow(compare, "a long, b long"))
+def _across(near: DataFrame, nodes: DataFrame, edges: DataFrame, of: DataFrame, threshold: float, k: int, tables: int, tries: int) -> tuple[DataFrame, DataFrame]:
+    """Edges and components with the links that saturated lists hide: those to other components."""
+    full = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where(F.col("n") >= k).where(F.col("worst") >= threshold - 1e-3)
+    full = settle(full.select(F.col("a").alias("id")))
+    for attempt in range(tries):
+        labelled = full.join(of.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
+        saturated = settle(labelled.join(nodes.select("id", "x", "v"), "id"))
+        if saturated.agg(F.min("c") == F.max("c")).first()[0] in (None, True):
+            break
+        found = graph(saturated, k, tables, seed=101 + attempt, inside=near)
+        more = settle(_confirmed(found, nodes, threshold))
+        forget(saturated)
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        of = components(edges)
+    return edges, of
 
 
-def _wide(rows: list[dict]) -> np.ndarray:
-    return np.frombuffer(b"".join(r["centre"] for r in rows), "<f8").reshape(len(rows), -1)
+def _blocks(members: DataFrame) -> DataFrame:
+    """(component, chunk, chunks, rows): the members of each component in blocks of about CHUNK."""
+    size = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    placed = split_join(members, size, ["component"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    return settle(placed.groupBy("component", "chunk", "chunks").agg(F.collect_list(F.struct("id", "m", "x")).alias("rows")))
 
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -298,8 +278,12 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([as_long(np.concatenate(ids)), as_long(np.concatenate(others)), as_long(np.concatenate(pairs))], ["id", "others", "pairs"])
 
     chunks = _blocks(members)
-    other = chunks.select("component", F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"))
-    both = chunks.join(other, "component").where("chunk <= chunk2").select((F.col("chunk") == F.col("chunk2")).alias("same"), "rows", "rows2")
+    # The blocks of a large component meet in as many places as the root of their number: each goes to one place
+    # to be compared with all, and to all of them to be compared with those.
+    places = F.ceil(F.sqrt("chunks"))
+    one = chunks.withColumn("place", F.pmod("chunk", places)).drop("chunks")
+    other = chunks.select("component", F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"), F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"))
+    both = one.join(other, ["component", "place"]).where("chunk <= chunk2").select((F.col("chunk") == F.col("chunk2")).alias("same"), "rows", "rows2")
     return both.mapInArrow(run, "id long, others long, pairs long").groupBy("id").agg(F.sum("others").alias("others"), F.sum("pairs").alias("pairs"))
 
 
@@ -340,15 +324,9 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     bound_batches(vectors.sparkSession)
     nodes = settle(_nodes(vectors, vec_id, embedding))
     for attempt in range(tries):
-        near = graph(nodes, k << attempt, tables << attempt)
+        near = graph(nodes.withColumn("c", F.col("id")), k << attempt, tables << attempt)
         edges = settle(_confirmed(near, nodes, threshold))
-        of = components(edges)
-        full = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where(F.col("n") >= k << attempt).where(F.col("worst") >= threshold - 1e-3)
-        saturated = full.select(F.col("a").alias("id")).join(of.withColumnRenamed("node", "id"), "id").join(nodes, "id").select("component", "id", "m", "x")
-        more = _across(saturated, threshold)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            of = components(edges)
+        edges, of = _across(near, nodes, edges, components(edges), threshold, k << attempt, tables << attempt, tries)
         links = settle(_counts(nodes.join(of.withColumnRenamed("node", "id"), "id").select("component", "id", "m", "x"), threshold))
         every, outside = audit(nodes, links, of, threshold)
         said(f"audit: {every:.3f} of a vector's links, {outside:.3f} outside the largest component")

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from tesserae.llm import urls, vectors
+from tesserae.llm.components import components
 
 from .conftest import make, prose
 from .test_text_operators import linked_plainly, measured_plainly, removed_plainly, shingles_plainly
@@ -77,10 +78,12 @@ def test_vectors_link_dense_groups(spark):
     want = [(i, n, c) for (i, _), (n, c) in zip(rows, vectors_linked_plainly(rows, 0.9), strict=True)]
     assert {c for _, _, c in want} == {0, 120}
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    nodes = vectors._nodes(df, "vec_id", "embedding")
-    groups = nodes.withColumn("component", (F.col("id") / 60).cast("long") * 60).select("component", "id", "m", "x")
-    across = vectors._across(groups, 0.9).collect()
-    assert across and {(r.a // 60, r.b // 60) for r in across} == {(0, 1)}
+    nodes = vectors._nodes(df, "vec_id", "embedding").cache()
+    lists = [(i, i // 60 * 60 + (i + step) % 60, i // 60 * 60 + (i + step) % 60, 0.97) for i in range(180) for step in range(1, 5)]
+    near = spark.createDataFrame(lists, vectors.EDGES)  # none has room for another group
+    edges = near.select("a", "b")
+    edges, of = vectors._across(near, nodes, edges, components(edges), 0.9, 4, 1, 3)
+    assert {(r.node, r.component) for r in of.collect()} == {(i, 0 if i < 120 else 120) for i in range(180)}
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.link(df, k=4, tables=1).collect())
     assert got == want
 
