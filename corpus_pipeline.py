@@ -31,8 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    gone = neardup.link(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = kit.settle(neardup.link(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    # Few ids go to the documents; only where they are many are texts shuffled.
+    few = gone.count() * 8 <= 8 << 20
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
