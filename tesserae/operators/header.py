@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FormatError
 from ..functions import dtypes
-from ..functions.grid import HEADER_BYTES, MAX_FRAMES, MAX_LISTED, UNITS, Grid, base_offset
+from ..functions.grid import HEADER_BYTES, MAX_FRAMES, MAX_LISTED, UNITS, Grid, base_offset, div
 from ..ship import ship
 
 # The record's layout, its first number, its version.
@@ -85,10 +85,14 @@ class Header:
     def count(self, i):
         return np.full(np.shape(i), self.count_min, np.int64) if self.counts is None else self.counts[i]
 
-    def offset(self, i):
+    def starts(self) -> np.ndarray | None:
+        """Where each frame starts after the base, if sizes differ."""
+        return None if self.counts is None else np.cumsum(self.counts) - self.counts
+
+    def offset(self, i, starts: np.ndarray | None = None):
         if self.counts is None:
             return self.grid.base + np.asarray(i, np.int64) * self.count_min
-        return self.grid.base + (np.cumsum(self.counts) - self.counts)[i]
+        return self.grid.base + (self.starts() if starts is None else starts)[i]
 
     @property
     def end(self) -> int:
@@ -230,12 +234,27 @@ def count_plan(frames: DataFrame, by: list[str], count: str = "byte_count") -> D
     return out.withColumn("count_bits", F.when(gap == 0, F.lit(0)).otherwise(F.length(F.bin(gap))).cast("int")).drop("count_max")
 
 
+def packed_groups(frames: DataFrame, plan: DataFrame, by: list[str], index: str = "frame_index", count: str = "byte_count") -> DataFrame:
+    """The packed residuals of each eight frames, which fill whole bytes: (by, part, values), a number per byte."""
+    joined = frames.join(plan, by).where("count_bits > 0")
+    eight = joined.groupBy(*by, "count_bits", div(F.col(index), 8).alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), (F.col(count) - F.col("count_min")).alias("rest")))).alias("rests"))
+    size = "(size(rests) * count_bits + 7) div 8"
+    bit = "coalesce((shiftright(get(rests, cast((8 * j + u) div count_bits as int)).rest, cast((8 * j + u) % count_bits as int)) & 1), 0L)"
+    values = F.expr(f"transform(sequence(0L, {size} - 1), j -> cast(aggregate(sequence(0, 7), 0L, (sum, u) -> sum + shiftleft({bit}, u)) as int))")
+    return eight.select(*by, "count_bits", "part", values.alias("values"))
+
+
 def packed_bytes(frames: DataFrame, plan: DataFrame, by: list[str], index: str = "frame_index", count: str = "byte_count") -> DataFrame:
     """The packed residuals, one row per byte: (by, pos, value)."""
-    joined = frames.join(plan, by)
-    bits = joined.where("count_bits > 0").select(*by, index, (F.col(count) - F.col("count_min")).alias("rest"), "count_bits", F.explode(F.sequence(F.lit(0), F.col("count_bits") - 1)).alias("k"))
-    spot = F.col(index) * F.col("count_bits") + F.col("k")
-    return bits.groupBy(*by, F.floor(spot / 8).cast("bigint").alias("pos")).agg(F.sum(F.expr("shiftright(rest, k) & 1") * F.pow(F.lit(2), spot % 8).cast("bigint")).cast("int").alias("value"))
+    groups = packed_groups(frames, plan, by, index, count)
+    return groups.select(*by, "count_bits", "part", F.posexplode("values").alias("j", "value")).select(*by, (F.col("part") * F.col("count_bits") + F.col("j")).cast("bigint").alias("pos"), "value")
+
+
+def packed_hex(frames: DataFrame, plan: DataFrame, by: list[str], index: str = "frame_index", count: str = "byte_count") -> DataFrame:
+    """Per image the packed residuals as hex: (by, packed). Images of equal frames have none."""
+    text = F.array_join(F.transform("values", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
+    parts = packed_groups(frames, plan, by, index, count).select(*by, F.struct("part", text.alias("text")).alias("s"))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "").alias("packed"))
 
 
 def little_endian_hex(value: Column, size: int) -> Column:

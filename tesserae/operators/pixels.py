@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, div, edge, frame_index
+from ..functions.grid import Grid, div, edge, frame_index, label
 from ..plans.layout import Layout
 from ..plans.selection import Request, ordered
 
@@ -25,32 +25,41 @@ def cut(pixels: DataFrame, grid: Grid, by: list[str] = [], value: str = "v") ->
     return out.select(*by, at.alias("frame_index"), "row", "col", F.col("band").cast("int").alias("band"), edge(F.col("row"), grid.tile_length, grid.height).alias("h"), edge(F.col("col"), grid.tile_width, grid.width).alias("w"), "data")
 
 
-def checked(frames: DataFrame) -> DataFrame:
+def checked(frames: DataFrame, grid: Grid) -> DataFrame:
     """The frames; one whose data has another length than its shape raises when it is read."""
-    cells = F.col("h") * F.col("w") * F.when(F.col("band").isNull(), F.lit(1)).otherwise(F.lit(1))
-    bad = F.size("data") % cells != 0
-    return frames.withColumn("data", F.when(bad, F.raise_error(F.concat(F.lit("frame "), F.col("frame_index").cast("string"), F.lit(" has the wrong number of samples")))).otherwise(F.col("data")))
+    bad = F.size("data") != F.col("h") * F.col("w") * F.lit(grid.bands if grid.unit == "cell" else 1)
+    return frames.withColumn("data", F.when(bad, F.raise_error(F.concat(F.lit("the frame at "), label(F.col("row"), F.col("col")), F.lit(" has the wrong number of samples")))).otherwise(F.col("data")))
 
 
 def place(frames: DataFrame, request: Request, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Pixels of the request from frames: (keys, b, y, x, v), places counted from the request's origin.
 
-    Frames outside the window are pruned by row, column and band; a cell frame is opened
-    once and its planes dealt to all places that ask for its band.
+    Frames outside the window are pruned by row, column and band, and a frame's samples outside it are cut
+    off before rows are made; a cell frame is opened once and its planes dealt to all places that ask for its band.
     """
     g = request.grid
-    y0, x0 = request.y[0], request.x[0]
-    near = frames.where(request.meets())
+    (y0, y1), (x0, x1) = request.y, request.x
+    near = checked(frames.where(request.meets()), g)
     if g.unit == "tile":
-        near = ordered(near.withColumn("band", F.col("band")), "band", request.bands, "b")
-    pixel = near.select(*keys, *(["b"] if g.unit == "tile" else []), "row", "col", "h", "w", F.posexplode("data").alias("i", "v"))
-    size = F.col("h") * F.col("w")
+        near = ordered(near, "band", request.bands, "b")
+        planes = F.array(F.lit(0))
+    else:
+        some = sorted(set(request.all_bands))
+        planes = F.sequence(F.lit(some[0]), F.lit(some[-1])) if some == list(range(some[0], some[-1] + 1)) else F.array(*map(F.lit, some))
+    # The part of each frame that the window meets: rows top to bottom, columns left to right.
+    top, left = F.col("row") * g.tile_length, F.col("col") * g.tile_width
+    spans = {"y_from": F.greatest(F.lit(0), y0 - top), "y_to": F.least("h", y1 - top), "x_from": F.greatest(F.lit(0), x0 - left), "x_to": F.least("w", x1 - left)}
+    own = [*keys, *(["b"] if g.unit == "tile" else [])]
+    part = near.select(*own, (top - y0).alias("top"), (left - x0).alias("left"), "h", "w", "data", planes.alias("planes"), *(v.cast("int").alias(k) for k, v in spans.items()))
+    rows = "flatten(transform(sequence(y_from, y_to - 1), i -> slice(data, cast((p * h + i) * w + x_from + 1 as int), x_to - x_from)))"
+    whole = "y_from = 0 AND x_from = 0 AND y_to = h AND x_to = w AND size(planes) * h * w = size(data)"
+    part = part.withColumn("data", F.expr(f"CASE WHEN {whole} THEN data ELSE flatten(transform(planes, p -> {rows})) END"))
+    pixel = part.select(*own, "top", "left", "planes", "y_from", "y_to", "x_from", "x_to", F.posexplode("data").alias("i", "v"))
+    wide, size = F.expr("x_to - x_from"), F.expr("(x_to - x_from) * (y_to - y_from)")
     inner = F.col("i") % size
-    y = F.col("row") * g.tile_length + div(inner, F.col("w")) - y0
-    x = F.col("col") * g.tile_width + inner % F.col("w") - x0
-    out = pixel.select(*keys, *(["b"] if g.unit == "tile" else [div(F.col("i"), size).cast("int").alias("band")]), y.cast("int").alias("y"), x.cast("int").alias("x"), "v")
-    _, height, width = request.extent
-    out = out.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
+    y, x = F.col("top") + F.col("y_from") + div(inner, wide), F.col("left") + F.col("x_from") + inner % wide
+    band = [] if g.unit == "tile" else [F.expr("get(planes, cast(i div ((x_to - x_from) * (y_to - y_from)) as int))").cast("int").alias("band")]
+    out = pixel.select(*own, *band, y.cast("int").alias("y"), x.cast("int").alias("x"), "v")
     if g.unit == "cell":
         out = ordered(out, "band", request.bands, "b").drop("band")
     return out.select(*keys, "b", "y", "x", "v")

@@ -13,12 +13,14 @@ from ..errors import RequestError, UnsupportedError
 from ..functions import codec
 from ..functions.grid import UNITS, Grid
 from ..plans import layout as layouts
-from ..plans.selection import Request, ordered, pick
+from ..plans.selection import Request, among, ordered, pick
 from ..ship import ship
 from ..sources import frames_source
 from ..threads import get_parallelism
 from .header import parse_header
 
+#: Decoded bytes and frames that one task reads, about.
+TASK_BYTES, TASK_FRAMES = 256 << 20, 1 << 20
 FRAMEWORKS = ("numpy", "torch", "jax", "tensorflow", "tf", None)
 
 
@@ -39,18 +41,23 @@ def decoded(frames: DataFrame, grid: Grid) -> DataFrame:
     names = [c for c in frames.columns if c not in ("payload", "h", "w")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, h, w, lengths = [], [], [], [0]
-            for row, col, payload in zip(*(batch.column(c).to_pylist() for c in ("row", "col", "payload")), strict=True):
-                shape = grid.frame_shape(row, col)
-                values = kind.values(codec.decode(payload, kind, int(np.prod(shape))))
-                lists.append(to_spark(values, kind))
-                lengths.append(lengths[-1] + len(values))
-                h.append(shape[-2])
-                w.append(shape[-1])
-            if lists:
-                data = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays(lists))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(h, pa.int32()), pa.array(w, pa.int32()), data], [*names, "h", "w", "data"])
+        for whole in batches:
+            # A frame's samples are as many as its shape says; a batch of frames holds a bounded number of bytes.
+            shapes = [int(np.prod(grid.frame_shape(r, c))) * max(kind.size, 4) for r, c in zip(whole.column("row").to_pylist(), whole.column("col").to_pylist(), strict=True)]
+            for start, stop in frames_source.by_bytes(shapes):
+                yield opened(whole.slice(start, stop - start))
+
+    def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, h, w, lengths = [], [], [], [0]
+        for row, col, payload in zip(*(batch.column(c).to_pylist() for c in ("row", "col", "payload")), strict=True):
+            shape = grid.frame_shape(row, col)
+            values = kind.values(codec.decode(payload, kind, int(np.prod(shape))))
+            lists.append(to_spark(values, kind))
+            lengths.append(lengths[-1] + len(values))
+            h.append(shape[-2])
+            w.append(shape[-1])
+        data = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays(lists))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(h, pa.int32()), pa.array(w, pa.int32()), data], [*names, "h", "w", "data"])
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     return frames.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", h int, w int, data array<{kind.spark}>")
@@ -97,11 +104,12 @@ def read(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | No
         raise RequestError(f"{grid.kind.name} is read by whole images only")
     picked = len(chosen) if chosen is not None else total
     plan = layouts.compile_layout(pattern if pattern is not None else layouts.default_pattern(picked), picked, *request.extent)
-    if chosen is not None:
-        images = images.where(F.col("n").isin(sorted(set(chosen))))
+    images = among(images, "n", chosen)
     frames = frames_source.planned(images, b, y, x)
-    # Frames of all images are one bag of work, dealt evenly before their payloads are read.
-    frames = frames.repartition(max(get_parallelism(images.sparkSession), 1), "n", "frame_index")
+    # Frames of all images are one bag of work, dealt evenly before their payloads are read, into tasks of a bounded size.
+    count, samples = frames_source.wanted(images, b, y, x)
+    tasks = max(get_parallelism(images.sparkSession), -(-samples * max(grid.kind.size, 4) // TASK_BYTES), -(-count // TASK_FRAMES))
+    frames = frames.repartition(max(1, min(tasks, count)), "n", "frame_index")
     # The unit may differ between images that are stacked; it decides what a frame holds.
     kinds = [r[0][0] for r in images.select(F.substring("header", 23, 1)).distinct().collect()]
     units = [Grid(grid.bands, grid.height, grid.width, grid.tile_width, grid.tile_length, UNITS[k], grid.kind) for k in sorted(kinds)]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 
 
-def pick(selection, name: str, total: int) -> list[int] | None:
-    """None: all. A tuple (start, stop): a half-open range. A list: these, in order; repeats stay."""
+def pick(selection, name: str, total: int) -> list[int] | range | None:
+    """None: all. A tuple (start, stop): a half-open range, which is not spelled out. A list: these, in order; repeats stay."""
     if selection is None:
         return None
     if isinstance(selection, tuple):
@@ -20,7 +20,7 @@ def pick(selection, name: str, total: int) -> list[int] | None:
         start, stop = selection
         if not 0 <= start < stop <= total:
             raise ValueError(f"{name}: ({start}, {stop}) is not within 0 and {total}")
-        return list(range(start, stop))
+        return range(start, stop)
     if isinstance(selection, list):
         chosen = [int(i) for i in selection]
         if not chosen:
@@ -53,7 +53,7 @@ class Request:
     """A checked selection on a grid."""
 
     grid: Grid
-    bands: list[int] | None
+    bands: list[int] | range | None
     y: tuple[int, int]
     x: tuple[int, int]
 
@@ -62,8 +62,8 @@ class Request:
         return cls(grid, pick(b, "b", grid.bands), window(y, "y", grid.height), window(x, "x", grid.width))
 
     @property
-    def all_bands(self) -> list[int]:
-        return self.bands if self.bands is not None else list(range(self.grid.bands))
+    def all_bands(self) -> list[int] | range:
+        return self.bands if self.bands is not None else range(self.grid.bands)
 
     @property
     def rows(self) -> tuple[int, int]:
@@ -88,13 +88,28 @@ class Request:
         return self.grid.index(spark, self.rows, self.cols, self.all_bands)
 
 
-def ordered(df: DataFrame, key: str, chosen: list[int] | None, out: str) -> DataFrame:
+def among(df: DataFrame, key: str, chosen: list[int] | range | None) -> DataFrame:
+    """The rows whose key is chosen: a range is two comparisons, a few are listed, more are joined."""
+    if chosen is None:
+        return df
+    if isinstance(chosen, range):
+        return df.where((F.col(key) >= chosen.start) & (F.col(key) < chosen.stop))
+    keys = sorted(set(chosen))
+    if len(keys) <= 64:
+        return df.where(F.col(key).isin(keys))
+    rows = df.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` bigint")
+    return df.join(F.broadcast(rows) if len(keys) <= MOST_BROADCAST else rows, key, "left_semi")
+
+
+def ordered(df: DataFrame, key: str, chosen: list[int] | range | None, out: str) -> DataFrame:
     """Adds `out`, the place of each row's key among the chosen ones; rows repeat as keys do, others go.
 
-    A few places are an array beside each row's key, more are broadcast, and very many are joined.
+    A range is arithmetic. A few places are an array beside each row's key, more are broadcast, and very many are joined.
     """
     if chosen is None:
         return df.withColumn(out, F.col(key).cast("int"))
+    if isinstance(chosen, range):
+        return among(df, key, chosen).withColumn(out, (F.col(key) - chosen.start).cast("int"))
     places: dict[int, list[int]] = {}
     for i, k in enumerate(chosen):
         places.setdefault(k, []).append(i)

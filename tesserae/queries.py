@@ -114,7 +114,7 @@ def document_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, header): each source as an image one frame high, with real header bytes made of columns."""
     frames = document_frames(spark, sf_dir)
     plan = H.count_plan(frames, ["image"])
-    packed = H.packed_bytes(frames, plan, ["image"]).groupBy("image").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: F.lpad(F.hex(s["value"].cast("bigint")), 2, "0")), "").alias("packed"))
+    packed = H.packed_hex(frames, plan, ["image"])
     one = F.lit(1)
     record = H.record_hex(one, one, F.col("frames"), one, one, F.lit(8), one, F.lit(0), F.col("count_min"), F.col("count_bits"))
     return plan.join(packed, "image", "left").select("image", F.unhex(F.concat(record, F.coalesce("packed", F.lit("")))).alias("header"))
@@ -221,6 +221,16 @@ def f8_one_frame(spark, sf_dir):
     return _table(spark, sf_dir).frame(-2).select("frame_index", "row", "col", "band")
 
 
+@query(f"WITH {ORDERS}, f AS (SELECT frame_index FROM ({_frames_sql('orders_cube', 64, bands=3)})) SELECT frame_index, CASE WHEN frame_index = 7 THEN 'seven' WHEN frame_index % 2 = 0 AND frame_index <> 4 THEN cast(frame_index AS varchar) END AS payload FROM f")
+def f9_payloads_set(spark, sf_dir):
+    """Payloads of the even frames from a table, one replaced by hand, one taken away."""
+    cube, grid = orders_cube(spark, sf_dir)
+    table = FrameTable(P.cut(cube, grid), grid)
+    given = table.df.select("frame_index").where("frame_index % 2 = 0").select("frame_index", F.encode(F.col("frame_index").cast("string"), "utf-8").alias("payload"))
+    done = table.with_payloads(given).with_payload(7, b"seven").with_payload(4, None)
+    return done.df.select("frame_index", F.decode("payload", "utf-8").alias("payload"))
+
+
 @query(f"{_TABLE} SELECT frame_index, cast(100 * row + col AS int) AS cloud FROM t")
 def f10_attach_by_cell(spark, sf_dir):
     t = _table(spark, sf_dir)
@@ -461,26 +471,76 @@ def w10_canonical_unit(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", unit.cast("int").alias("unit"))
 
 
-def _written(spark, sf_dir):
-    """The embedding stack as container files in a folder that all executors share: rows (n, path, header)."""
-    pixels, grid = vector_stack(spark, sf_dir)
-    frames = FrameTable(P.cut(pixels, grid, ["n"]), grid).compress("zlib").df
-    return writer.write_images(frames, scratch.shared_folder(spark, "images"), grid)
+def _stored(spark, pixels_and_grid: tuple[DataFrame, Grid], recipe: str = "zlib") -> DataFrame:
+    """Pixels cut, compressed and written as container files: the catalog, rows (n, path, header), as a table like any other."""
+    pixels, grid = pixels_and_grid
+    if "n" not in pixels.columns:
+        pixels = pixels.withColumn("n", F.lit(0))
+    frames = FrameTable(P.cut(pixels, grid, ["n"]), grid).compress(recipe).df
+    folder = scratch.shared_folder(spark, "images")
+    table = f"file://{scratch.shared_folder(spark, 'catalog')}/images.parquet"
+    writer.write_images(frames, folder, grid).write.parquet(table)
+    return spark.read.parquet(table)
 
 
 @query(f"WITH {STACK} SELECT n, y - 1 AS y, x - 2 AS x, v FROM vector_stack WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
 def w1_containers_written_and_read(spark, sf_dir):
     """Cut, compressed, written, and read back by position: only the frames that the window meets."""
-    path = f"{scratch.shared_folder(spark, 'catalog')}/images.parquet"
-    _written(spark, sf_dir).write.parquet(f"file://{path}")  # the catalog is a table like any other
-    images = spark.read.parquet(f"file://{path}")
-    return read_images(images, y=(1, 7), x=(2, 8), pattern="n b y x").select(F.col("n").cast("int").alias("n"), "y", "x", "v")
+    return read_images(_stored(spark, vector_stack(spark, sf_dir)), y=(1, 7), x=(2, 8), pattern="n b y x").select(F.col("n").cast("int").alias("n"), "y", "x", "v")
+
+
+@query(f"WITH {STACK} SELECT n, y, x, v FROM vector_stack WHERE n % 7 = 3")
+def s1_one_file(spark, sf_dir):
+    """Single files of a folder, found by the scan of containers and read as images of their own."""
+    images = _stored(spark, vector_stack(spark, sf_dir))
+    folder = os.path.dirname(images.agg(F.min("path")).first()[0])
+    number = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1).cast("bigint")
+    found = frames_source.catalog(spark, folder).withColumn("file", number).where("file % 7 = 3")
+    at = F.row_number().over(Window.orderBy("file")) - 1
+    numbered = found.select("path", "header", at.cast("bigint").alias("n"), "file")
+    files = numbered.select("n", F.col("file").cast("int").alias("file"))
+    return read_images(numbered.drop("file"), pattern="n b y x").join(files, "n").select(F.col("file").alias("n"), "y", "x", "v")
+
+
+@query(f"WITH {STACK} SELECT n, x, v FROM vector_stack WHERE y = 4")
+def s3_memory_or_file(spark, sf_dir):
+    """Half of the images come as bytes in the catalog, half by their paths: each row says where its payloads are."""
+    images = _stored(spark, vector_stack(spark, sf_dir))
+    folder = os.path.dirname(images.agg(F.min("path")).first()[0])
+    inside = frames_source.catalog_from_bytes(spark, f"file://{folder}").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    both = images.join(inside.withColumnRenamed("file", "f"), F.concat(F.col("n").cast("string"), F.lit(".frames")) == F.col("f")).where("n % 2 = 0").select("n", F.lit(None).cast("string").alias("path"), "header", "content")
+    images = images.where("n % 2 = 1").select("n", "path", "header", F.lit(None).cast("binary").alias("content")).unionByName(both)
+    return read_images(images, y=(4, 5), pattern="n b y x").select(F.col("n").cast("int").alias("n"), "x", "v")
+
+
+@query(f"""WITH {VECTORS}, size AS (SELECT max(y) + 1 AS height FROM vector_cube),
+f AS (SELECT DISTINCT cast(y // 8 AS int) AS r, cast(x // 8 AS int) AS c FROM vector_cube WHERE y BETWEEN 3 AND 16 AND x BETWEEN 5 AND 20)
+SELECT count(*) * 2 AS frames, cast(sum(4 + 4 * least(8, height - r * 8) * least(8, 25 - c * 8)) * 2 AS bigint) AS bytes FROM f, size""")
+def s5_bytes_of_a_sparse_read(spark, sf_dir):
+    """What a window of two bands fetches from a file of uncompressed frames."""
+    images = _stored(spark, vector_cube(spark, sf_dir), "raw")
+    found = frames_source.payloads(frames_source.planned(images, [8, 9], (3, 17), (5, 21)))
+    return found.agg(F.count(F.lit(1)).alias("frames"), F.sum(F.octet_length("payload")).cast("bigint").alias("bytes"))
+
+
+@query(f"WITH {ORDERS} {_frames_sql('orders_cube', 64, bands=3)}")
+def r7_frames_decoded(spark, sf_dir):
+    """Frames written with a prepared codec, fetched and decoded whole."""
+    frames = read_images(_stored(spark, orders_cube(spark, sf_dir), "delta>zigzag>zlib"), output="frames")
+    return _told(frames)
+
+
+@query(f"""WITH {STACK}, m AS (SELECT count(*) AS k FROM embeddings)
+SELECT cast(x * 8 * k + y * k + n AS bigint) AS pos, v FROM vector_stack, m""")
+def r17_into_an_array(spark, sf_dir):
+    """The same order that a read into a given array has, with its places."""
+    return read_images(_stored(spark, vector_stack(spark, sf_dir)), pattern="b x (y n)").select("pos", "v")
 
 
 @query("SELECT vec_id || '.frames' AS file, cast(9 AS bigint) AS frames, cast(412 + 108 AS bigint) AS base_frame_offset, 'float32' AS dtype FROM embeddings")
 def s6_containers_indexed(spark, sf_dir):
     """Headers rebuilt from the files' own directories."""
-    path = os.path.dirname(_written(spark, sf_dir).agg(F.min("path")).first()[0])
+    path = os.path.dirname(_stored(spark, vector_stack(spark, sf_dir)).agg(F.min("path")).first()[0])
     found = H.parsed(frames_source.catalog(spark, path), strict=True)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), *(F.col(f"parsed.{k}").alias(k) for k in ("frames", "base_frame_offset", "dtype")))
 
@@ -488,19 +548,15 @@ def s6_containers_indexed(spark, sf_dir):
 # ---- reads: R -----------------------------------------------------------------------
 
 
-def _read(pixels_and_grid: tuple[DataFrame, Grid], pattern: str = "b y x", **selection) -> DataFrame:
-    """Cut into frames, pruned, placed: (pos, v)."""
-    pixels, grid = pixels_and_grid
-    request = Request.of(grid, **selection)
-    plan = L.compile_layout(pattern, 1, *request.extent)
-    placed = P.place(P.cut(pixels, grid), request)
-    return placed.select(P.position(plan).alias("pos"), "v")
+def _read(spark, pixels_and_grid: tuple[DataFrame, Grid], pattern: str = "b y x", **selection) -> DataFrame:
+    """Written as a container, then planned, pruned, fetched, decoded and placed by `read`."""
+    return read_images(_stored(spark, pixels_and_grid), pattern=pattern, **selection)
 
 
 @query(f"WITH {VECTORS} SELECT cast((b - 8) * 14 * 16 + (y - 3) * 16 + x - 5 AS bigint) AS pos, v FROM vector_cube WHERE b BETWEEN 8 AND 23 AND y BETWEEN 3 AND 16 AND x BETWEEN 5 AND 20")
 def r1_read_a_window(spark, sf_dir):
-    """The flagship: 16 bands of a 14 x 16 window, through frames."""
-    return _read(vector_cube(spark, sf_dir), b=(8, 24), y=(3, 17), x=(5, 21))
+    """The flagship: 16 bands of a 14 x 16 window, from a container file."""
+    return _read(spark, vector_cube(spark, sf_dir), b=(8, 24), y=(3, 17), x=(5, 21)).select("pos", "v")
 
 
 _HALF = "(SELECT height // 4 AS y0, height // 4 + height // 2 AS y1 FROM size)"
@@ -518,14 +574,14 @@ def r2_window(spark, sf_dir):
 
 @query(f"WITH {ORDERS} SELECT cast(p.i AS int) AS b, y, x, v FROM orders_cube JOIN (VALUES (0, 2), (1, 0), (2, 2)) p(i, band) ON band = b")
 def r3_bands_in_order_with_repeats(spark, sf_dir):
-    pixels, grid = orders_cube(spark, sf_dir)
-    return P.place(P.cut(pixels, grid), Request.of(grid, b=[2, 0, 2]))
+    return _read(spark, orders_cube(spark, sf_dir), b=[2, 0, 2]).select("b", "y", "x", "v")
 
 
-@query(f"WITH {STACK}, chosen AS (SELECT cast(i AS int) AS i, cast((i * 37) % 500 AS int) AS image FROM range(600) t(i)) SELECT i AS n, y, x, v FROM vector_stack JOIN chosen ON n = image")
+@query(f"WITH {STACK}, m AS (SELECT count(*) AS k FROM embeddings), chosen AS (SELECT cast(i AS int) AS i, cast((i * 37) % k AS int) AS image FROM range(600) t(i), m) SELECT i AS n, y, x, v FROM vector_stack JOIN chosen ON n = image")
 def r4_images_in_order_with_repeats(spark, sf_dir):
-    pixels, _ = vector_stack(spark, sf_dir)
-    return ordered(pixels.withColumnRenamed("n", "image"), "image", [i * 37 % 500 for i in range(600)], "n").select("n", "y", "x", "v")
+    images = _stored(spark, vector_stack(spark, sf_dir))
+    k = images.count()
+    return read_images(images, n=[i * 37 % k for i in range(600)]).select("n", "y", "x", "v")
 
 
 @query(f"{_POSITIONS} SELECT cast((row * 3 + col) * 3 + band AS bigint) AS frame_index, row, col, band FROM spots, {_HALF} WHERE row >= y0 // 64 AND row < (y1 + 63) // 64 AND col < 2 AND band <> 1")
@@ -551,14 +607,12 @@ def r8_crop_and_place(spark, sf_dir):
 
 @query(f"WITH {VECTORS} SELECT cast(p.i AS int) AS b, y, x - 5 AS x, v FROM vector_cube JOIN (VALUES (0, 3), (1, 1), (2, 3), (3, 63)) p(i, band) ON band = b WHERE x BETWEEN 5 AND 20")
 def r9_cells_opened_once(spark, sf_dir):
-    pixels, grid = vector_cube(spark, sf_dir, "cell")
-    return P.place(P.cut(pixels, grid), Request.of(grid, b=[3, 1, 3, 63], x=(5, 21)))
+    return _read(spark, vector_cube(spark, sf_dir, "cell"), b=[3, 1, 3, 63], x=(5, 21)).select("b", "y", "x", "v")
 
 
 @query(f"WITH {STACK} SELECT n, y - 1 AS y, x - 2 AS x, v FROM vector_stack WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
 def r10_stack(spark, sf_dir):
-    pixels, grid = vector_stack(spark, sf_dir)
-    return P.place(P.cut(pixels, grid, ["n"]), Request.of(grid, y=(1, 7), x=(2, 8)), ["n"]).drop("b")
+    return _read(spark, vector_stack(spark, sf_dir), "n b y x", y=(1, 7), x=(2, 8)).select(F.col("n").cast("int").alias("n"), "y", "x", "v")
 
 
 @query("SELECT cast(selected AS int) AS selected, CASE WHEN selected > 1 THEN 'n b y x' ELSE 'b y x' END AS pattern FROM range(1, 4) t(selected)")
@@ -569,15 +623,12 @@ def r11_default_patterns(spark, sf_dir):
 @query(f"WITH {ORDERS} SELECT cast((y - y0) * (70 * 3) + (x - 20) * 3 + i AS bigint) AS pos, v FROM orders_cube JOIN (VALUES (0, 2), (1, 0), (2, 2)) p(i, band) ON band = b, {_HALF} WHERE y >= y0 AND y < y1 AND x BETWEEN 20 AND 89")
 def r12_layout_y_x_b(spark, sf_dir):
     cube = orders_cube(spark, sf_dir)
-    return _read(cube, "y x b", b=[2, 0, 2], y=_half(cube[1]), x=(20, 90))
+    return _read(spark, cube, "y x b", b=[2, 0, 2], y=_half(cube[1]), x=(20, 90)).select("pos", "v")
 
 
 @query(f"WITH {STACK}, m AS (SELECT count(*) AS k FROM embeddings) SELECT cast(x * 8 * k + y * k + n AS bigint) AS pos, v FROM vector_stack, m")
 def r12_layout_x_of_y_and_n(spark, sf_dir):
-    pixels, _ = vector_stack(spark, sf_dir)
-    images = pixels.agg(F.max("n") + 1).first()[0]
-    plan = L.compile_layout("b x (y n)", images, 1, 8, 8)
-    return pixels.select(P.position(plan, F.col("n")).alias("pos"), "v")
+    return _read(spark, vector_stack(spark, sf_dir), "b x (y n)").select("pos", "v")
 
 
 _PATTERNS = ("b y x", "n b y x", "y x b", "(n b) y x", "n (b y x)", "x y b", "n y x b")
@@ -588,6 +639,34 @@ def r14_native_layouts(spark, sf_dir):
     return spark.createDataFrame([(p, L.compile_layout(p, 1, 3, 4, 5).native) for p in _PATTERNS], "pattern string, native boolean")
 
 
+_WRONG = {"": "empty pattern", "b y z": "unknown axis 'z' (the axes are n, b, y and x)", "((b y) x)": "parentheses cannot be nested", "b y x)": "unbalanced ')'", "(b y x": "unbalanced '('", "b () y x": "empty group '()'", "b y x y": "axis 'y' is used more than once", "y x": "the pattern lacks b: it must have b, y and x"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(t.replace("'", "''") for t in pair)) for pair in _WRONG.items()) + ") t(pattern, problem)")
+def r13_patterns_refused(spark, sf_dir):
+    rows = []
+    for pattern in _WRONG:
+        try:
+            L.compile_layout(pattern, 1, 3, 4, 5)
+        except ValueError as e:
+            rows.append((pattern, str(e)))
+    return spark.createDataFrame(rows, "pattern string, problem string")
+
+
+@query("SELECT * FROM (VALUES ('binary', 'binary is read by whole images only'), ('uint4', 'uint4 is read by whole images only'), ('uint8', 'read')) t(dtype, outcome)")
+def r15_small_types_by_whole_images(spark, sf_dir):
+    """A window of a type of less than a byte is refused before anything is opened."""
+    rows = []
+    for name in ("binary", "uint4", "uint8"):
+        header = H.encode_header(Grid(1, 8, 8, 4, 4, "tile", name), [20] * 4)
+        try:
+            read_images(spark.createDataFrame([("/nowhere", bytearray(header))], "path string, header binary"), y=(0, 4))
+            rows.append((name, "read"))
+        except ValueError as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "dtype string, outcome string")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN -1 ELSE cast(p_size AS bigint) * 4294967296 * p_size END AS samples FROM part")
 def r16_size_overflow(spark, sf_dir):
     big = F.when(F.col("p_size") > 25, F.lit(1 << 62)).otherwise(F.lit(1 << 32))
@@ -596,7 +675,7 @@ def r16_size_overflow(spark, sf_dir):
 
 @query(f"WITH {ORDERS}, s AS (SELECT height FROM size) SELECT cast(b * height * 150 + y * 150 + x AS bigint) AS pos, v FROM orders_cube, s")
 def r20_everything(spark, sf_dir):
-    return _read(orders_cube(spark, sf_dir))
+    return _read(spark, orders_cube(spark, sf_dir)).select("pos", "v")
 
 
 # ---- extensions: what Spark adds to frames -----------------------------------------

@@ -65,25 +65,54 @@ def head(grid: Grid, counts, where: Geo = Geo(), known: geo.Ranges = geo.KNOWN)
     return out
 
 
-def write_file(path, grid: Grid, payloads: Iterable[bytes], counts, where: Geo = Geo(), known: geo.Ranges = geo.KNOWN) -> bytes:
-    """Writes a container and returns its header. A file that cannot be finished is removed."""
-    grid = grid if grid.bands > 1 or grid.unit == "tile" else Grid(grid.bands, grid.height, grid.width, grid.tile_width, grid.tile_length, "tile", grid.kind)
-    blob = encode_header(grid, counts)
-    first = head(grid, counts, where, known)
+class FrameWriter:
+    """Writes a container frame by frame, in frame order: where frames begin follows from the grid, so what stands
+    before them is written last. A file that is not finished is removed."""
+
+    def __init__(self, path, grid: Grid, where: Geo = Geo(), known: geo.Ranges = geo.KNOWN):
+        one = grid.bands > 1 or grid.unit == "tile"
+        self.grid = grid if one else Grid(grid.bands, grid.height, grid.width, grid.tile_width, grid.tile_length, "tile", grid.kind)
+        self.path, self.where, self.known = path, where, known
+        self.counts: list[int] = []
+        self.file = open(path, "wb")
+        self.file.seek(self.grid.base)
+
+    def add(self, payload: bytes) -> None:
+        self.file.write(payload)
+        self.counts.append(len(payload))
+
+    def finish(self) -> bytes:
+        """Returns the header."""
+        try:
+            blob = encode_header(self.grid, self.counts)
+            first = head(self.grid, self.counts, self.where, self.known)
+            self.file.seek(0)
+            self.file.write(first)
+            self.file.close()
+        except BaseException:
+            self.drop()
+            raise
+        return blob
+
+    def drop(self) -> None:
+        self.file.close()
+        if os.path.exists(self.path):
+            os.unlink(self.path)
+
+
+def write_file(path, grid: Grid, payloads: Iterable[bytes], counts=None, where: Geo = Geo(), known: geo.Ranges = geo.KNOWN) -> bytes:
+    """Writes a container and returns its header; counts: sizes that the payloads must have. A file that cannot be finished is removed."""
+    head(Grid(1, 1, 1, 1, 1), [1], where, known)  # what cannot be written is refused before a file is made
+    out = FrameWriter(path, grid, where, known)
     try:
-        with open(path, "wb") as f:
-            f.write(first)
-            n = 0
-            for payload, size in zip(payloads, counts, strict=True):
-                if len(payload) != size:
-                    raise ValueError(f"frame {n} has {len(payload)} bytes, not {size}")
-                f.write(payload)
-                n += 1
+        for n, payload in enumerate(payloads):
+            if counts is not None and (n >= len(counts) or len(payload) != counts[n]):
+                raise ValueError(f"frame {n} has {len(payload)} bytes, which is not its size")
+            out.add(payload)
     except BaseException:
-        if os.path.exists(path):
-            os.unlink(path)
+        out.drop()
         raise
-    return blob
+    return out.finish()
 
 
 class Reader:

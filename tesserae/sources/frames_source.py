@@ -102,11 +102,50 @@ def substring(content, offset, length):
     return F.substring(content, (offset + 1).cast("int"), length.cast("int"))
 
 
+#: Frames that one batch of a plan lists, and bytes of payloads that one batch holds, at most (a larger payload stands alone).
+BATCH_FRAMES, BATCH_BYTES = 1 << 16, 16 << 20
+
+
+def by_bytes(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of at most `most` bytes together, or of one row."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def wanted(images: DataFrame, b=None, y=None, x=None) -> tuple[int, int]:
+    """How many frames a request needs of all images, and how many samples those hold at most; two sums reach the driver."""
+    from ..plans.selection import Request
+
+    ship(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames, samples = 0, 0
+            for blob in batch.column(0).to_pylist():
+                g = parse_header(bytes(blob)).grid
+                r = Request.of(g, b, y, x)
+                spots = (r.rows[1] - r.rows[0]) * (r.cols[1] - r.cols[0])
+                n = spots * (len(set(r.all_bands)) if g.unit == "tile" else 1)
+                frames += n
+                samples += n * g.tile_length * g.tile_width * (1 if g.unit == "tile" else g.bands)
+            yield pa.RecordBatch.from_arrays([pa.array([frames], pa.int64()), pa.array([float(samples)])], ["frames", "samples"])
+
+    row = images.select("header").mapInArrow(run, "frames long, samples double").agg(F.sum("frames"), F.sum("samples")).first()
+    return row[0] or 0, int(row[1] or 0)
+
+
 def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
     """The frames that a request needs of each image: (n, frame_index, row, col, band, offset, length), payloads unread.
 
     images: n and header, and whatever the payload reader needs. Headers are parsed and
-    pruned in one step, so frames outside the window never become rows.
+    pruned in one step, so frames outside the window never become rows; an image's frames
+    come in batches, so that memory does not grow with their number.
     """
     from ..plans.selection import Request
 
@@ -120,19 +159,21 @@ def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
                 g = h.grid
                 r = Request.of(g, b, y, x)
                 (r0, r1), (c0, c1) = r.rows, r.cols
-                row, col = (a.ravel() for a in np.mgrid[r0:r1, c0:c1])
-                if g.unit == "tile":
-                    band = np.array(sorted(set(r.all_bands)))
-                    row, col, band = np.repeat(row, len(band)), np.repeat(col, len(band)), np.tile(band, len(row))
-                    at, bands = (row * g.across + col) * g.bands + band, pa.array(band, pa.int32())
-                else:
-                    at, bands = row * g.across + col, pa.nulls(len(row), pa.int32())
-                n = len(row)
-                same = batch.slice(i, 1).take(pa.array(np.zeros(n, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(same.column(c) for c in names), pa.array(at, pa.int64()), pa.array(row, pa.int32()), pa.array(col, pa.int32()), bands, pa.array(h.offset(at), pa.int64()), pa.array(h.count(at), pa.int64()), pa.array(np.full(n, h.end), pa.int64())],
-                    [*names, "frame_index", "row", "col", "band", "offset", "length", "data_end"],
-                )
+                among = np.array(sorted(set(r.all_bands))) if g.unit == "tile" else np.zeros(1, np.int64)
+                starts = h.starts()
+                total, across, own = (r1 - r0) * (c1 - c0) * len(among), c1 - c0, batch.slice(i, 1)
+                most = max(1, min(BATCH_FRAMES, BATCH_BYTES // max(1, own.select(names).nbytes if names else 1)))
+                for a in range(0, total, most):
+                    k = np.arange(a, min(a + most, total))
+                    spot, band = k // len(among), among[k % len(among)]
+                    row, col = r0 + spot // across, c0 + spot % across
+                    at = (row * g.across + col) * g.per_position + band
+                    bands = pa.array(band, pa.int32()) if g.unit == "tile" else pa.nulls(len(k), pa.int32())
+                    same = own.take(pa.array(np.zeros(len(k), np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(same.column(c) for c in names), pa.array(at, pa.int64()), pa.array(row, pa.int32()), pa.array(col, pa.int32()), bands, pa.array(h.offset(at, starts), pa.int64()), pa.array(h.count(at), pa.int64()), pa.array(np.full(len(k), h.end), pa.int64())],
+                        [*names, "frame_index", "row", "col", "band", "offset", "length", "data_end"],
+                    )
 
     kinds = {f.name: f.dataType.simpleString() for f in images.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", frame_index bigint, row int, col int, band int, offset bigint, length bigint, data_end bigint"
@@ -145,23 +186,27 @@ def payloads(frames: DataFrame) -> DataFrame:
     names = [c for c in frames.columns if c != "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            content = batch.column("content").to_pylist() if "content" in batch.schema.names else [None] * n
-            path = batch.column("path").to_pylist() if "path" in batch.schema.names else [None] * n
-            out, source, now = [], None, None
-            for p, c, o, size, end in zip(path, content, *(batch.column(k).to_pylist() for k in ("offset", "length", "data_end")), strict=True):
-                key = c if c is not None else p
-                if key is not now:
-                    if source:
-                        source.close()
-                    source, now = Reader(key), key
-                if end > source.size:
-                    raise FormatError(f"{p or 'the content'} is cut short: it has {source.size} of {end} bytes")
-                out.append(source.at(o, size))
-            if source:
-                source.close()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "payload"])
+        for whole in batches:
+            for a, b in by_bytes(whole.column("length").to_pylist()):
+                yield loaded(whole.slice(a, b - a))
+
+    def loaded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        content = batch.column("content").to_pylist() if "content" in batch.schema.names else [None] * n
+        path = batch.column("path").to_pylist() if "path" in batch.schema.names else [None] * n
+        out, source, now = [], None, None
+        for p, c, o, size, end in zip(path, content, *(batch.column(k).to_pylist() for k in ("offset", "length", "data_end")), strict=True):
+            key = c if c is not None else p
+            if key is not now:
+                if source:
+                    source.close()
+                source, now = Reader(key), key
+            if end > source.size:
+                raise FormatError(f"{p or 'the content'} is cut short: it has {source.size} of {end} bytes")
+            out.append(source.at(o, size))
+        if source:
+            source.close()
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "payload"])
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     return frames.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", payload binary")

@@ -6,8 +6,12 @@ from hypothesis import strategies as st
 import tesserae
 from tesserae.errors import RequestError, UnsupportedError
 from tesserae.functions import dtypes
+from tesserae.functions.grid import Grid
+from tesserae.operators import header as H
+from tesserae.operators import pixels as P
 from tesserae.operators import read as R
-from tesserae.sources import frames_source
+from tesserae.plans.selection import Request, among, ordered, pick
+from tesserae.sources import frames_source, writer
 
 NORTH_UP = (30.0, 0.0, 500000.0, 0.0, -30.0, 8000000.0)
 
@@ -162,3 +166,42 @@ def test_read_equals_numpy(spark, tmp_path_factory, data):
     order = draw(st.permutations("byx"))
     got = R.to_numpy(images, b=chosen, y=(y0, y1), x=(x0, x1), pattern=" ".join(order))
     assert np.array_equal(got, array[chosen, y0:y1, x0:x1].transpose(["byx".index(a) for a in order]))
+
+
+def test_a_plan_of_many_frames_comes_in_batches(spark):
+    """Ten million frames of equal size in a header of 28 bytes: no list of them is ever made."""
+    grid = Grid(10, 8000, 8000, 8, 8, "tile", "uint8")
+    blob = H.RECORD.pack(H.MAGIC, H.VERSION, 8000, 8000, 8, 8, 10, 8, 1, 0, 20, 0)
+    images = spark.createDataFrame([(0, "/nowhere", bytearray(blob))], "n bigint, path string, header binary")
+    assert frames_source.wanted(images) == (grid.frames, grid.frames * 64)
+    assert frames_source.wanted(images, [3, 3], (0, 9), (0, 8)) == (2, 128)
+    found = frames_source.planned(images).selectExpr("count(*)", "sum(frame_index)", "max(offset)").first()
+    assert tuple(found) == (10**7, 10**7 * (10**7 - 1) // 2, grid.base + (10**7 - 1) * 20)
+
+
+def test_batches_are_bounded_by_bytes():
+    assert list(frames_source.by_bytes([5, 5, 5, 30, 1, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(frames_source.by_bytes([])) == []
+
+
+def test_a_range_is_not_spelled_out(spark):
+    assert pick((2, 10**9), "n", 10**9) == range(2, 10**9)
+    rows = spark.range(20).withColumnRenamed("id", "n")
+    assert sorted(r.n for r in among(rows, "n", range(3, 6)).collect()) == [3, 4, 5]
+    assert sorted(r.n for r in among(rows, "n", [*range(0, 1000, 7)]).collect()) == [0, 7, 14]
+    assert sorted((r.n, r.at) for r in ordered(rows, "n", range(3, 6), "at").collect()) == [(3, 0), (4, 1), (5, 2)]
+
+
+def test_a_frame_of_another_length_is_an_error(spark):
+    grid = Grid(3, 8, 8, 8, 8, "cell", "int32")
+    frames = spark.createDataFrame([(0, 0, 0, 8, 8, None, [1] * 64)], "frame_index bigint, row int, col int, h int, w int, band int, data array<int>")
+    with pytest.raises(Exception, match="wrong number of samples"):
+        P.place(frames, Request.of(grid)).collect()
+
+
+def test_an_unfinished_image_leaves_no_file(spark, tmp_path):
+    grid = Grid(1, 4, 8, 4, 4, "tile", "uint8")
+    rows = spark.createDataFrame([(0, 0, bytearray(b"abc"))], "n bigint, frame_index bigint, payload binary")
+    with pytest.raises(Exception, match="frames once"):
+        writer.write_images(rows, str(tmp_path), grid).collect()
+    assert not list(tmp_path.iterdir())
