@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,25 +59,32 @@ def column(name: str) -> Column:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and cut its lineage.
+    """Write a result to a table in the shared checkpoint folder and read it from there, which cuts its lineage.
 
-    What earlier steps have left in shuffle files is no longer needed then. Spark removes those files when the
-    driver's collector finds their plans gone, so it is asked to look.
+    What earlier steps have left in shuffle files is not needed any more. Spark removes such files when the driver's
+    collector finds their plans gone (a checkpoint() would keep them), so it is asked to look.
     """
     spark = df.sparkSession
-    shared_folder(spark)
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    del df
+    gc.collect()  # plans that only Python still holds
     spark.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    return out
 
 
 def forget(*settled: DataFrame) -> None:
-    """Remove the files of settled results that nothing reads any more."""
+    """Remove the tables of settled results that nothing reads any more."""
     for df in settled:
-        spark = df.sparkSession
-        plan = df._jdf.queryExecution().logical()
-        if plan.getClass().getSimpleName() == "LogicalRDD" and (at := plan.rdd().getCheckpointFile()).isDefined():
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.get())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._settled)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder in the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
