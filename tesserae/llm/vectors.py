@@ -21,7 +21,8 @@ does not help either, an error says so.
 Cases: vectors that are null, empty or zero, or hold null or non-finite components, are
 linked with nothing; vectors of different lengths are not linked; rows with a null id
 are linked with nothing and belong to no component; repeated rows are vectors of their
-own; no rows give no rows; columns of other names pass unread.
+own; of neighbours that are as near the one with the smaller id goes first; no rows give
+no rows; columns of other names pass unread.
 """
 
 from __future__ import annotations
@@ -129,13 +130,19 @@ def _edges(a: np.ndarray, b: np.ndarray, cb: np.ndarray, sim: np.ndarray) -> pa.
 
 
 def _best(edges: DataFrame, k: int, apart: bool) -> DataFrame:
-    """The k best neighbours of each vector; `apart`: one of each component."""
-    once = edges.where("a <> b").groupBy("a", "b", "cb").agg(F.max("sim").alias("sim"))
+    """The k best neighbours of each vector with the worst similarity that a better one must pass; `apart`: one of each component.
+
+    Edges come with `old`, which tells that a list had them before.
+    """
+    once = edges.where("a <> b").groupBy("a", "b", "cb").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     order = (F.desc("sim"), "b")
     if apart:
-        once = once.withColumn("r", F.row_number().over(Window.partitionBy("a", "cb").orderBy(*order))).where("r = 1").drop("r")
+        once = once.withColumn("r", F.row_number().over(Window.partitionBy("a", "cb").orderBy(*order))).where("r = 1")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(*order))
-    return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    top = once.withColumn("r", rank).where(F.col("r") <= k)
+    of = Window.partitionBy("a")
+    worst = F.when(F.count(F.lit(1)).over(of) >= k, F.min("sim").over(of)).otherwise(F.lit(-2.0)).cast("float")
+    return top.select("a", "b", "cb", "sim", "r", "old", worst.alias("worst"))
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +162,9 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
+    # A neighbour both ways comes twice.
+    u, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    batch = batch.filter(pa.array(np.concatenate(([True], (u[1:] != u[:-1]) | (ids[1:] != ids[:-1])))))
     u, ids, c, worst, raw = *(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist()
     starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
     counts = np.diff(np.concatenate((starts, [len(u)])))
@@ -179,7 +189,7 @@ def _compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def graph(nodes: DataFrame, k: int, tables: int, rounds: int = 8, seed: int = 17, inside: DataFrame | None = None) -> DataFrame:
-    """The neighbour graph of nodes (id, c, v): (a, b, cb, sim), up to k rows for each a, of other c than its own.
+    """The neighbour graph of nodes (id, c, v): (a, b, cb, sim, r, old, worst), up to k rows for each a, of other c than its own.
 
     With the lists `inside` components (a, b) given, each list has one vector of any other component,
     and descent goes through both kinds of lists.
@@ -189,25 +199,22 @@ def graph(nodes: DataFrame, k: int, tables: int, rounds: int = 8, seed: int = 17
     bits = max(1, min(40, n.bit_length() - 4))
     parts = shuffle_parts(nodes.sparkSession)
     spread = _projected(nodes, tables, bits, seed).repartitionByRange(parts, "t", "code", "along").sortWithinPartitions("t", "code", "along")
-    best = settle(_best(spread.mapInArrow(_beside, EDGES), k, apart))
-    vector = nodes.select(F.col("id").alias("b"), "c", "v")
+    best = settle(_best(spread.mapInArrow(_beside, EDGES).withColumn("old", F.lit(False)), k, apart))
     for _ in range(rounds):
-        worst = best.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         # Of those that a vector is a neighbour of, as many as it has neighbours; the rest meet elsewhere.
         order = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "b"))
         back = best.select(F.col("b").alias("u"), F.col("a").alias("b"), "sim").withColumn("r", order).where(F.col("r") <= k).select("u", "b")
         around = best.select(F.col("a").alias("u"), "b").unionByName(back).unionByName(nodes.select(F.col("id").alias("u"), F.col("id").alias("b")))
         if apart:
             around = around.unionByName(inside.select(F.col("a").alias("u"), "b"))
-        rows = split_join(split_join(around.distinct(), vector, ["b"]), worst.withColumnRenamed("a", "b"), ["b"], "left")
-        rows = rows.select("u", "b", "c", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "v").repartition(parts, "u").sortWithinPartitions("u")
-        found = rows.mapInArrow(_local, EDGES).groupBy("a", "b", "cb").agg(F.max("sim").alias("sim"))
-        better = settle(found.join(best, ["a", "b"], "left_anti"))
-        changed = better.count()
-        if changed <= n * k * 0.001:
+        vector = nodes.select(F.col("id").alias("b"), "c", "v").join(best.where("r = 1").select(F.col("a").alias("b"), "worst"), "b", "left")
+        rows = split_join(around, vector, ["b"]).select("u", "b", "c", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "v")
+        found = rows.repartition(parts, "u").sortWithinPartitions("u", "b").mapInArrow(_local, EDGES)
+        every = best.select("a", "b", "cb", "sim").withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False)))
+        before, best = best, settle(_best(every, k, apart))
+        forget(before)
+        if best.where("NOT old").count() <= n * k * (0.01 if apart else 0.001):
             break
-        before, best = best, settle(_best(best.unionByName(better), k, apart))
-        forget(before, better)
     return best
 
 
@@ -224,15 +231,14 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 
 
 def _across(near: DataFrame, nodes: DataFrame, edges: DataFrame, of: DataFrame, threshold: float, k: int, tables: int, tries: int) -> tuple[DataFrame, DataFrame]:
-    """Edges and components with the links that saturated lists hide: those to other components."""
-    full = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where(F.col("n") >= k).where(F.col("worst") >= threshold - 1e-3)
-    full = settle(full.select(F.col("a").alias("id")))
+    """Edges and components with the links that saturated lists of the graph `near` hide: those to other components."""
+    full = near.where(F.col("r") == k).where(F.col("worst") >= threshold - 1e-3).select(F.col("a").alias("id"))
     for attempt in range(tries):
         labelled = full.join(of.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
         saturated = settle(labelled.join(nodes.select("id", "x", "v"), "id"))
         if saturated.agg(F.min("c") == F.max("c")).first()[0] in (None, True):
             break
-        found = graph(saturated, k, tables, seed=101 + attempt, inside=near)
+        found = graph(saturated, k, tables, rounds=4, seed=101 + attempt, inside=near)
         more = settle(_confirmed(found, nodes, threshold))
         forget(saturated)
         if more.isEmpty():

@@ -80,7 +80,7 @@ def test_vectors_link_dense_groups(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     nodes = vectors._nodes(df, "vec_id", "embedding").cache()
     lists = [(i, i // 60 * 60 + (i + step) % 60, i // 60 * 60 + (i + step) % 60, 0.97) for i in range(180) for step in range(1, 5)]
-    near = spark.createDataFrame(lists, vectors.EDGES)  # none has room for another group
+    near = vectors._best(spark.createDataFrame(lists, vectors.EDGES).withColumn("old", F.lit(False)), 4, False)  # none has room for another group
     edges = near.select("a", "b")
     edges, of = vectors._across(near, nodes, edges, components(edges), 0.9, 4, 1, 3)
     assert {(r.node, r.component) for r in of.collect()} == {(i, 0 if i < 120 else 120) for i in range(180)}
