@@ -3,7 +3,7 @@
 A byte goes if it is covered by a string of ``width`` bytes that also starts in a
 document with a smaller id.  Four steps, all on packed binary rows:
 
-1. Documents are dealt into blocks by a hash of their id.  A block fingerprints its
+1. Documents are dealt into blocks by a hash of their id and text.  A block fingerprints its
    windows: of the k-grams inside a window of ``width`` bytes the one with the smallest
    hash is its *anchor*, so equal windows have equal anchors wherever they stand.
 2. Anchors meet by hash.  Those that only one document has are dropped, which loses
@@ -20,8 +20,9 @@ Heavy repetition stays cheap: a block sends a repeated segment or anchor once ho
 many documents have it, so no task receives more than blocks times distinct strings.
 
 Cases: null and empty texts and texts shorter than the window lose nothing; documents
-that share an id do not remove each other's bytes; rows with a null id come after all
-others and do not remove each other's bytes; no rows give no rows; columns of other
+that share an id (or are repeated rows) do not remove each other's bytes; rows with a
+null id come after all others and do not remove each other's bytes; of documents that hold
+a string, the smallest id keeps it, so there are no ties; no rows give no rows; columns of other
 names pass unread.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kit import Rolling, as_long, block_count, bound_batches, column, enter, flat, hashes, mix, pieces, trim
-from .packed import cut, packed, part_of, rows_of, spread, unpacked
+from .packed import Relay, cut, packed, part_of, rows_of, spread, unpacked
 
 U64 = np.uint64
 WIDTH = 50
@@ -283,14 +284,14 @@ class Segments:
         self.size = block.end[self.first] - block.start[self.first]
 
 
-def _segments(width: int, parts: int) -> Callable:
+def _segments(width: int, parts: int, relay: Relay) -> Callable:
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         enter("suffixes")
         trim()
         if not docs.num_rows:
             return rows_of("part block payload", [])
         block = Block(docs, width)
-        segments = Segments(block, shared, parts)
+        segments = Segments(block, relay.opened(shared), parts)
         rows = []
         for p, a, b in cut(segments.part):
             start, size = block.start[segments.first[a:b]], segments.size[a:b]
@@ -389,25 +390,30 @@ def _covered(block: Block, segments: Segments, found: pa.Table) -> np.ndarray:
     return cover[:-1] > 0
 
 
-def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: int, finish: Callable, schema: str, *more: str) -> DataFrame:
-    """Runs the steps; finish(docs table, its block, covered bytes) makes a block's result."""
+def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: int, relay_from: int, finish: Callable, schema: str, *more: str) -> DataFrame:
+    """Runs the steps; finish(docs table, its block, covered bytes) makes a block's result. From `relay_from` blocks on rows go through a relay."""
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     parts = block_count(spark, total, block_bytes)
     picked = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), *more)
-    dealt = picked.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(parts))).repartition(parts, "block")
+    # Dealt by text as well: rows without an id, or with the same, spread.
+    dealt = picked.withColumn("block", F.pmod(F.xxhash64("__id", "__text"), F.lit(parts))).repartition(parts, "block")
     small = "part long, block long, payload binary"
-    anchors = dealt.select("block", "__id", "__text").groupBy("block").applyInArrow(_anchors(width, parts), small)
-    shared = anchors.groupBy("part").applyInArrow(_shared, "block long, part long, payload binary")
-    segments = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(width, parts), small)
-    holders = segments.groupBy("part").applyInArrow(_holders(width), "block long, part long, payload binary")
+    answer = "block long, part long, payload binary"
+    relay = Relay(parts, parts, parts >= relay_from)
+    anchors = relay.across(dealt.select("block", "__id", "__text").groupBy("block").applyInArrow(relay.sending(_anchors(width, parts), "part", "block"), small), "part", "block")
+    shared = relay.across(anchors.groupBy("part").applyInArrow(relay.sending(relay.receiving(_shared), "block", "part"), answer), "block", "part")
+    segments = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(relay.sending(_segments(width, parts, relay), "part", "block"), small)
+    segments = relay.across(segments, "part", "block")
+    holders = relay.across(segments.groupBy("part").applyInArrow(relay.sending(relay.receiving(_holders(width)), "block", "part"), answer), "block", "part")
     both = shared.withColumn("step", F.lit(0)).unionByName(holders.withColumn("step", F.lit(1)))
 
     def end(key: tuple, mine: pa.Table, said: pa.Table) -> pa.Table:
         enter("suffixes")
         trim()
         block = Block(mine, width)
+        said = relay.opened(said)
         step = said.column("step").to_numpy()
         found = Segments(block, said.filter(pa.array(step == 0)), parts)
         return finish(mine, block, _covered(block, found, said.filter(pa.array(step == 1))))
@@ -415,7 +421,7 @@ def _removed(docs: DataFrame, doc_id: str, text: str, width: int, block_bytes: i
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(end, schema)
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20) -> DataFrame:
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20, relay_from: int = 4096) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay,
     and the removed runs as arrays of byte positions `starts` and `ends`."""
 
@@ -440,10 +446,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         return pa.table([ids, as_long(np.diff(offsets)), as_long(np.diff(before[offsets])), as_long(np.diff(place)), pa.array(sha, pa.string()), pa.array(starts, lists), pa.array(ends, lists)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    return _removed(docs, doc_id, text, width, block_bytes, finish, schema).withColumnRenamed("id", doc_id)
+    return _removed(docs, doc_id, text, width, block_bytes, relay_from, finish, schema).withColumnRenamed("id", doc_id)
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20) -> DataFrame:
+def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block_bytes: int = 8 << 20, relay_from: int = 4096) -> DataFrame:
     """The documents with repeated strings cut out of their texts; characters that a cut would split stay whole."""
     names = docs.columns
     others = [n for n in names if n not in (doc_id, text)]
@@ -463,6 +469,6 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
     schema = "__id long, __text string" + "".join(f", __{i} {kinds[n]}" for i, n in enumerate(others))
     more = [column(n).alias(f"__{i}") for i, n in enumerate(others)]
-    out = _removed(docs, doc_id, text, width, block_bytes, finish, schema, *more)
+    out = _removed(docs, doc_id, text, width, block_bytes, relay_from, finish, schema, *more)
     back = {doc_id: F.col("__id").cast(kinds[doc_id]), text: F.col("__text")} | {n: F.col(f"__{i}") for i, n in enumerate(others)}
     return out.select(*(back[n].alias(n) for n in names))

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import bpe, katz, kit, neardup, packing, pii, quality, suffixes, tokens
+from tesserae.llm import bpe, katz, kit, neardup, packed, packing, pii, quality, suffixes, tokens
 from tesserae.llm.components import components
 
 from .conftest import LOWER, make, prose
@@ -65,7 +65,7 @@ def test_suffix_dedup(spark, texts, width):
     for (i, b), gone in zip(rows, removed_plainly(rows, width), strict=True):
         runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         want[i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    got = suffixes.spans(make(spark, texts, ids), width=width, block_bytes=20_000)
+    got = suffixes.spans(make(spark, texts, ids), width=width, block_bytes=20_000, relay_from=4096 if width == 50 else 1)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
 
 
@@ -397,43 +397,62 @@ def test_small_strata_share_a_pool(spark):
 # ---- 9 language model ----
 
 
-def test_language_model(spark, texts, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, texts, none, order):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     words = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
-    one, two = Counter(), Counter()
+    count = [Counter() for _ in range(order + 1)]  # of n-grams, by their length; an end stands before each text
     for i, w in words.items():
         if not held[i]:
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w, strict=True))
-    n, v, k = sum(one.values()), len(one), katz.DISCOUNTED
+            line = [None, *w]
+            count[1].update((x,) for x in w)
+            for m in range(2, order + 1):
+                count[m].update(tuple(line[k : k + m]) for k in range(len(line) - m + 1))
+    n, v, k = sum(count[1].values()), len(count[1]), katz.DISCOUNTED
     of_counts = lambda c: np.array([Counter(min(x, k + 2) for x in c.values())[r] for r in range(k + 3)])
-    d1, d2 = katz.discounts(of_counts(one)), katz.discounts(of_counts(two))
-    lost = sum(c * (1 - d1[c]) for c in one.values() if c <= k)
+    d = [None, *(katz.discounts(of_counts(c)) for c in count[1:])]
+    lost = sum(c * (1 - d[1][c]) for c in count[1].values() if c <= k)
     unknown = max(lost / n, 1 / (n + v + 1))
-    p1 = lambda w: (1 - unknown) / (1 - lost / n) * d1[min(one[w], k + 1)] * one[w] / n if one[w] else unknown
-    high, low = defaultdict(float), defaultdict(float)
-    for (h, w), c in two.items():
-        high[h] += d2[min(c, k + 1)] * c / one[h]
-        low[h] += p1(w)
-
-    def p2(h, w):
-        if not one[h]:
-            return p1(w)
-        spare = max(1 - high[h], 0.5 / (one[h] + 1))
-        return (1 - spare) / high[h] * d2[min(two[h, w], k + 1)] * two[h, w] / one[h] if two[h, w] else spare / (1 - low[h]) * p1(w)
-
-    for h in [None, "one", "no such word", *list(one)[:20]]:
-        assert math.isclose(sum(p2(h, w) for w in one) + p2(h, "\0"), 1, rel_tol=1e-9)
-    got = katz.score(make(spark, texts), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, block_bytes=20_000).collect()
+    after = defaultdict(list)
+    for c in count[2:]:
+        for gram in c:
+            after[gram[:-1]].append(gram[-1])
+
+    def seen(gram):
+        m = len(gram)
+        return d[m][min(count[m][gram], k + 1)] * count[m][gram] / (count[m - 1][gram[:-1]] + 0.5)
+
+    alphas = {}
+
+    def p(gram):
+        if len(gram) == 1:
+            return (1 - unknown) / (1 - lost / n) * d[1][min(count[1][gram], k + 1)] * count[1][gram] / n if count[1][gram] else unknown
+        h = gram[:-1]
+        if not count[len(h)][h]:
+            return p(gram[1:])
+        if count[len(gram)][gram]:
+            return seen(gram)
+        if h not in alphas:
+            alphas[h] = (1 - sum(seen((*h, w)) for w in after[h])) / (1 - sum(p((*h[1:], w)) for w in after[h]))
+        return alphas[h] * p(gram[1:])
+
+    some = [h for h in [(None,), ("one",), ("no such word",), *list(after)[:10], *[h for h in after if len(h) == order - 1][:10]] if None not in h[1:]]
+    for h in some:
+        assert math.isclose(sum(p((*h, *w)) for w in count[1]) + p((*h, "\0")), 1, rel_tol=1e-9)
+    got = katz.score(make(spark, texts), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, order=order, block_bytes=20_000, relay_from=1 if order == 4 else 4096).collect()
     assert len(got) == len(texts)
     for r in got:
         w = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(one[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p2(h, x)) for h, x in zip([None, *w[:-1]], w, strict=True)), rel_tol=1e-9, abs_tol=1e-9)
-    assert katz.score(none, F.lit(False)).count() == 0
-    untrained = katz.score(make(spark, ["a b", None]), F.lit(True)).collect()
-    assert {(r.n_known, r.score) for r in untrained} == {(0, 0.0)}
+        line = [None, *w]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(count[1][x,] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[1][x,] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(line[max(0, i + 1 - order) : i + 1]))) for i in range(1, len(line))), rel_tol=1e-8, abs_tol=1e-8)
+    if order == 3:
+        assert katz.score(none, F.lit(False)).count() == 0
+        untrained = katz.score(make(spark, ["a b", None]), F.lit(True)).collect()
+        assert {(r.n_known, r.score) for r in untrained} == {(0, 0.0)}
+        twice = katz.score(make(spark, ["a b c"] * 3, [None, 4, 4]), F.lit(False)).collect()
+        assert {(r.n_tokens, r.train_tokens) for r in twice} == {(4, 12)} and len({r.score for r in twice}) == 1
 
 
 # ---- 10 personal data ----
@@ -616,3 +635,8 @@ def test_other_tokenizer_files_are_refused(tmp_path):
         (tmp_path / "t.json").write_text(json.dumps(spec | change))
         with pytest.raises(ValueError, match="tokenizer file"):
             bpe.TrieBPE(str(tmp_path / "t.json"))
+
+
+def test_bundles_open_as_they_were():
+    rows = [(3, -1, b""), (4, 7, b"abc"), (3, 8, b"x" * 1000)]
+    assert packed.unbundle(packed.bundle(rows)) == rows and packed.unbundle(packed.bundle([])) == []
