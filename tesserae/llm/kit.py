@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +67,23 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    collect_plans(spark)
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     del df
-    gc.collect()  # plans that only Python still holds
-    spark.sparkContext._jvm.System.gc()
+    collect_plans(spark)
     return out
 
 
+def collect_plans(spark: SparkSession) -> None:
+    """Let go of the plans of queries that have ended: those that Python still holds, and those in events not yet heard."""
+    gc.collect()
+    with contextlib.suppress(Py4JError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(2000)
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*settled: DataFrame) -> None:
     """Remove the tables of settled results that nothing reads any more."""
     for df in settled:

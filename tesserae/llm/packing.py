@@ -13,7 +13,10 @@ Packing is local to a partition, needs no shuffle and keeps a bounded pool in me
 a sequence's id names its partition and its place there.
 
 Cases: null and empty texts are the end id alone; longer documents than a window are cut
-into several pieces; repeated rows are packed once each; no rows give no pieces.
+into several pieces; repeated rows are packed once each; of waiting remainders of one
+length the last to come goes first, and of subsets that leave the same slack the one with
+the longest pieces is taken; rows with a null id are packed like others; no rows give no
+pieces; columns of other names pass unread.
 """
 
 from __future__ import annotations

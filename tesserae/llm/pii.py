@@ -10,7 +10,8 @@ Spans are in code points, the end exclusive.  Plain spans always stay; a disguis
 is added where it overlaps no span of its kind.
 
 Cases: null and empty texts hold nothing; any length is read whole; repeated rows are
-treated alike; columns of other names pass unread.
+treated alike; of disguised spans of a kind that overlap the one that starts first stays;
+no rows give no rows; columns of other names pass unread.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ from . import katz, neardup, packing, pii, quality, suffixes, tokens, urls, vect
 BPE = "byte_bpe_50k.json"
 #: (verdict, host, path)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hosts whose pages make up the list of blocked URLs.
-LISTED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+#: Sites whose pages make up the list of blocked URLs, under each ending.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = tuple(f"{site}.example.{ending}" for site in LISTED_SITES for ending in ("com", "net", "org"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

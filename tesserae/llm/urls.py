@@ -8,7 +8,8 @@ the list's length, stays below ``broadcast_bytes``; beyond it is joined by block
 
 Cases: a null url or one without "://" has an empty host and path, fits no rule and is
 never listed; empty urls likewise; urls of any length are judged whole; repeated pages
-are judged alike; an empty list blocks nothing; null list entries do not count; columns
+are judged alike; of rules of one length that fit, the first given decides; a URL listed
+twice counts once; no pages give no rows; an empty list blocks nothing; null list entries do not count; columns
 of other names pass unread.
 """
 
