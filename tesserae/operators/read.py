@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +81,24 @@ def grid_of(images: DataFrame) -> tuple[Grid, int]:
     return first, images.count()
 
 
-def read(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | None = None, output: str = "pixels", strict: bool = True) -> DataFrame:
-    """Reads from a catalog: rows with `header` and `path` or `content`, and `n`, the image's number from 0 (none: one image).
+class Prepared(NamedTuple):
+    """A checked read: what is selected, how the result is laid out, and the frames with their payloads."""
 
-    n, b: None, (start, stop) or a list whose order and repeats hold. y, x: None or (start, stop).
-    pattern: axis order of the result, by default "b y x", or "n b y x" if several images are selected.
-    output: "pixels" (n, b, y, x, pos, v), "frames" (decoded frames that intersect), or "tensor" (one row: shape, data).
-    strict: types of less than a byte are read whole images at a time, as their frames cannot be cut elsewhere.
-    """
+    grid: Grid
+    chosen: list[int] | range | None
+    picked: int
+    request: Request
+    pattern: str
+    plan: layouts.Layout
+    units: list[Grid]
+    loaded: DataFrame
+
+    def of(self, g: Grid) -> DataFrame:
+        """The frames of one unit."""
+        return self.loaded if len(self.units) < 2 else self.loaded.where(F.col("band").isNull() if g.unit == "cell" else F.col("band").isNotNull())
+
+
+def prepare(images: DataFrame, n=None, b=None, y=None, x=None, pattern: str | None = None, strict: bool = True) -> Prepared:
     missing = {"header"} - set(images.columns)
     if missing or not {"path", "content"} & set(images.columns):
         raise ValueError("a catalog has a header, and a path or content")
@@ -103,7 +115,8 @@ def read(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | No
     if strict and grid.kind.bits < 8 and (request.y, request.x) != ((0, grid.height), (0, grid.width)):
         raise RequestError(f"{grid.kind.name} is read by whole images only")
     picked = len(chosen) if chosen is not None else total
-    plan = layouts.compile_layout(pattern if pattern is not None else layouts.default_pattern(picked), picked, *request.extent)
+    pattern = pattern if pattern is not None else layouts.default_pattern(picked)
+    plan = layouts.compile_layout(pattern, picked, *request.extent)
     images = among(images, "n", chosen)
     frames = frames_source.planned(images, b, y, x)
     # Frames of all images are one bag of work, dealt evenly before their payloads are read, into tasks of a bounded size.
@@ -113,25 +126,84 @@ def read(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | No
     # The unit may differ between images that are stacked; it decides what a frame holds.
     kinds = [r[0][0] for r in images.select(F.substring("header", 23, 1)).distinct().collect()]
     units = [Grid(grid.bands, grid.height, grid.width, grid.tile_width, grid.tile_length, UNITS[k], grid.kind) for k in sorted(kinds)]
-    loaded = frames_source.payloads(frames)
-    open_frames, pixels = None, None
+    return Prepared(grid, chosen, picked, request, pattern, plan, units, frames_source.payloads(frames))
+
+
+def read(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | None = None, output: str = "pixels", strict: bool = True) -> DataFrame:
+    """Reads from a catalog: rows with `header` and `path` or `content`, and `n`, the image's number from 0 (none: one image).
+
+    n, b: None, (start, stop) or a list whose order and repeats hold. y, x: None or (start, stop).
+    pattern: axis order of the result, by default "b y x", or "n b y x" if several images are selected.
+    output: "pixels" (n, b, y, x, pos, v), "frames" (decoded frames that intersect), or "tensor" (one row: shape, data).
+    strict: types of less than a byte are read whole images at a time, as their frames cannot be cut elsewhere.
+    """
     from .pixels import place, position
 
-    for g in units:
-        mine = loaded if len(units) < 2 else loaded.where(F.col("band").isNull() if g.unit == "cell" else F.col("band").isNotNull())
-        data = decoded(mine, g)
-        part = place(data.withColumnRenamed("n", "image"), Request(g, request.bands, request.y, request.x), ["image"])
-        open_frames = data if open_frames is None else open_frames.unionByName(data)
-        pixels = part if pixels is None else pixels.unionByName(part)
+    if output not in ("pixels", "frames", "tensor"):
+        raise ValueError(f"output must be pixels, frames or tensor, not {output!r}")
+    r = prepare(images, n, b, y, x, pattern, strict)
+    opened = [(g, decoded(r.of(g), g)) for g in r.units]
     if output == "frames":
-        return open_frames
-    pixels = ordered(pixels, "image", chosen, "n").drop("image")
-    pixels = pixels.select("n", "b", "y", "x", position(plan, F.col("n")).alias("pos"), "v")
-    if output == "pixels":
-        return pixels
-    if output == "tensor":
-        return tensor(pixels, plan)
-    raise ValueError(f"output must be pixels, frames or tensor, not {output!r}")
+        return reduce(DataFrame.unionByName, [data for _, data in opened])
+    pixels = reduce(DataFrame.unionByName, [place(data.withColumnRenamed("n", "image"), Request(g, r.request.bands, r.request.y, r.request.x), ["image"]) for g, data in opened])
+    pixels = ordered(pixels, "image", r.chosen, "n").drop("image")
+    pixels = pixels.select("n", "b", "y", "x", position(r.plan, F.col("n")).alias("pos"), "v")
+    return pixels if output == "pixels" else tensor(pixels, r.plan)
+
+
+def cropped(frames: DataFrame, request: Request) -> DataFrame:
+    """What a request takes of each frame as raw samples: (n, band, y, x, h, w, raw), places counted from its origin."""
+    grid, kind = request.grid, request.grid.kind
+    (y0, y1), (x0, x1) = request.y, request.x
+    some = np.array(sorted(set(request.all_bands)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, band, row, col, payload in zip(*(batch.column(c).to_pylist() for c in ("n", "band", "row", "col", "payload")), strict=True):
+                shape = grid.frame_shape(row, col)
+                data = codec.decode(payload, kind, int(np.prod(shape))).reshape(shape)
+                top, left = row * grid.tile_length - y0, col * grid.tile_width - x0
+                data = data[..., max(0, -top) : y1 - y0 - top, max(0, -left) : x1 - x0 - left]
+                data = data[some] if grid.unit == "cell" else data
+                rows.append((n, band, max(0, top), max(0, left), data.shape[-2], data.shape[-1], data.tobytes()))
+                if sum(len(r[-1]) for r in rows) > frames_source.BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["n", "band", "y", "x", "h", "w", "raw"])
+
+    return frames.mapInArrow(run, "n long, band int, y long, x long, h long, w long, raw binary")
+
+
+def dense(images: DataFrame, *, n=None, b=None, y=None, x=None, pattern: str | None = None, strict: bool = True) -> np.ndarray:
+    """A read as an array on the driver, put together from frames that executors have opened and cut."""
+    r = prepare(images, n, b, y, x, pattern, strict)
+    kind = r.grid.kind
+    numbers = r.chosen if r.chosen is not None else range(r.picked)
+    where: dict[int, list[int]] = {}
+    for i, number in enumerate(numbers):
+        where.setdefault(number, []).append(i)
+    bands = list(r.request.all_bands)
+    some = sorted(set(bands))
+    out = np.empty((r.picked, *r.request.extent), kind.numpy)
+    for g in r.units:
+        for row in cropped(r.of(g), Request(g, r.request.bands, r.request.y, r.request.x)).toLocalIterator(prefetchPartitions=True):
+            data = np.frombuffer(row.raw, kind.numpy).reshape(-1, row.h, row.w)
+            for j, band in enumerate(bands):
+                if row.band is None or row.band == band:
+                    plane = data[some.index(band) if row.band is None else 0]
+                    for i in where[row.n]:
+                        out[i, j, row.y : row.y + row.h, row.x : row.x + row.w] = plane
+    axes = "".join(layouts.groups(r.pattern))
+    order = [layouts.AXES.index(a) for a in axes]
+    if "n" not in axes:
+        out, order = out[0], [k - 1 for k in order]
+    return np.ascontiguousarray(out.transpose(order)).reshape(r.plan.shape)
 
 
 def tensor(pixels: DataFrame, plan: layouts.Layout, most: int = 1 << 27) -> DataFrame:
@@ -155,7 +227,13 @@ def export(row, kind, framework: str | None = "numpy"):
         array = array.astype(kind.numpy)
     elif kind.sample_format == 3:
         array = array.astype(kind.numpy)
-    array = array.reshape(row["shape"])
+    return framed(array.reshape(row["shape"]), framework)
+
+
+def framed(array: np.ndarray, framework: str):
+    """An array as a framework's own."""
+    if framework not in FRAMEWORKS:
+        raise ValueError(f"framework must be one of {FRAMEWORKS}")
     try:
         if framework == "torch":
             import torch
@@ -180,6 +258,8 @@ def to_numpy(images: DataFrame, framework: str | None = "numpy", **selection):
     kind = grid_of(first)[0].kind
     if kind.sample_format == 5:
         raise UnsupportedError(f"numpy has no type for {kind.name}")
+    if framework is not None and (kind.sample_format in (1, 2) and kind.bits >= 8 or kind.sample_format == 3):
+        return framed(dense(images, **selection), framework)
     return export(read(images, output="tensor", **selection).first(), kind, framework)
 
 

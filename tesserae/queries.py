@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import FormatError
 from .functions import dtypes, geo
 from .functions import grid as G
 from .functions.grid import Grid
@@ -26,7 +27,7 @@ from .operators.frames import FrameTable
 from .operators.read import read as read_images
 from .plans import layout as L
 from .plans.selection import Request, ordered
-from .sources import frames_source, scratch, writer
+from .sources import container, frames_source, scratch, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -396,6 +397,53 @@ def h14_epsg_kind(spark, sf_dir):
     return _suppliers(spark, sf_dir).select("s_suppkey", "epsg", "model")
 
 
+def _damaged(name: str) -> bytes:
+    """A container of 8 frames with one rule broken."""
+    grid = Grid(2, 8, 8, 4, 4)
+    counts = list(range(5, 5 + grid.frames))
+    b = bytearray(container.head(grid, counts, container.Geo.of((30, 0, 5e5, 0, -30, 8e6), 32718)) + b"x" * sum(counts))
+    first, keys = 24, grid.base - 32  # the directory's entries, 20 bytes each; the key directory, the last list before the frames
+    if name == "other byte order":
+        b[:2] = b"MM"
+    elif name == "wrong type":
+        b[first + 2] = 3
+    elif name == "swapped tags":
+        b[first : first + 40] = b[first + 20 : first + 40] + b[first : first + 20]
+    elif name == "foreign tag":
+        b[first + 160] += 1
+    elif name == "second directory":
+        b[first + 220] = 1
+    elif name == "cut short":
+        del b[-1]
+    elif name == "other kind":
+        b[keys + 14 : keys + 16], b[keys + 24 : keys + 26] = (2).to_bytes(2, "little"), (2048).to_bytes(2, "little")
+    elif name == "no model":
+        b[keys + 14] = 7
+    return bytes(b)
+
+
+_RULES = {
+    "sound": "sound", "other byte order": "no little-endian BigTIFF with its directory at byte 16", "wrong type": "width has the wrong type", "swapped tags": "the tags are not in rising order",
+    "foreign tag": "the directory holds another tag than allowed, or lacks one", "second directory": "there is a second directory", "cut short": "the file does not end with the last frame",
+    "other kind": "EPSG:32718 is not of the kind that the file says", "no model": "model type and CRS key disagree",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _RULES.items()) + ") t(damage, problem)")
+def h15_rules_of_a_file(spark, sf_dir):
+    """One broken rule per row, and what the index says about it."""
+
+    def say(name: str) -> str:
+        try:
+            with container.Reader(_damaged(name)) as read:
+                container.index(read)
+        except FormatError as e:
+            return str(e)
+        return "sound"
+
+    return spark.createDataFrame([(name, say(name)) for name in _RULES], "damage string, problem string")
+
+
 @query("""WITH c AS (SELECT DISTINCT cast(l_partkey % 2 AS int) AS kind, l_suppkey * l_suppkey % 5000 AS code FROM lineitem),
 i AS (SELECT kind, code, code - row_number() OVER (PARTITION BY kind ORDER BY code) AS island FROM c)
 SELECT kind, min(code) AS lo, max(code) AS hi FROM i GROUP BY kind, island""")

@@ -187,8 +187,12 @@ def _directory(read: Reader) -> dict[int, list]:
     return values
 
 
-def index(read: Reader, known: geo.Ranges | None = None) -> tuple[bytes, Geo]:
-    """The header of an open container, rebuilt from its directory, and where the image lies."""
+def index(read: Reader, known: geo.Ranges = geo.KNOWN) -> tuple[bytes, Geo]:
+    """The header of an open container, rebuilt from its directory, and where the image lies.
+
+    known: registry data. A code that it has must be of the kind that the file says; one that it lacks is an
+    error too if a table is given, as KNOWN does not claim to be complete.
+    """
     v = _directory(read)
     one = lambda tag: int(v[tag][0]) if len(v[tag]) == 1 else _fail(f"{NAMES[tag]} must be one number")
     width, height, bands, tw, tl = (one(t) for t in (256, 257, 277, 322, 323))
@@ -225,7 +229,7 @@ def _fail(why: str):
     raise FormatError(why)
 
 
-def _place(matrix: np.ndarray, keys: list[int], known: geo.Ranges | None) -> Geo:
+def _place(matrix: np.ndarray, keys: list[int], known: geo.Ranges) -> Geo:
     if len(matrix) != 16 or len(keys) != 16:
         raise FormatError("matrix and geokeys have 16 values each")
     if keys[:7] != [1, 1, 0, 3, 1024, 0, 1] or keys[8:11] != [1025, 0, 1] or keys[13:15] != [0, 1]:
@@ -239,13 +243,14 @@ def _place(matrix: np.ndarray, keys: list[int], known: geo.Ranges | None) -> Geo
         return Geo(None, 0, raster == geo.POINT)
     if model not in (geo.PROJECTED, geo.GEOGRAPHIC) or key != (3072 if model == geo.PROJECTED else 2048):
         raise FormatError("model type and CRS key disagree")
-    if known is not None and geo.model_type(code, known) != model:
+    kind = geo.model_type(code, known)
+    if kind != model and not (known is geo.KNOWN and kind == geo.UNDEFINED):
         raise FormatError(f"EPSG:{code} is not of the kind that the file says")
     m = matrix.tolist()
     return Geo((m[0], m[1], m[3], m[4], m[5], m[7]), code, raster == geo.POINT)
 
 
-def index_file(path, known: geo.Ranges | None = None) -> bytes:
+def index_file(path, known: geo.Ranges = geo.KNOWN) -> bytes:
     """The header of a container file; only the bytes before the frames are read."""
     with Reader(path) as read:
         return index(read, known)[0]
