@@ -269,7 +269,7 @@ class FrameTable:
 def _raw(values: pa.Array, kind) -> np.ndarray:
     """Samples as Spark has them, back in the type's own bytes."""
     if kind.name == "uint64":
-        return np.array([int(v) for v in values.to_pylist()], "<u8")
+        return values.cast(pa.uint64()).to_numpy(zero_copy_only=False).astype("<u8")
     if kind.name in ("cfloat32", "cfloat64"):
         part = f"f{kind.size // 2}"
         return (np.asarray(values.field("re")).astype(part) + 1j * np.asarray(values.field("im")).astype(part)).astype(kind.numpy)
@@ -282,9 +282,13 @@ def _raw(values: pa.Array, kind) -> np.ndarray:
     if kind.name == "bfloat16":
         return (a.astype("<f4").view("<u4") >> 16).astype("<u2")
     if kind.name in dtypes.SMALL_FLOATS or kind.name == "float8_e8m0":
-        known = dtypes.small_float_values(kind.name)
-        codes = {v.tobytes(): i for i, v in reversed(list(enumerate(known)))}
-        return np.array([codes[v.tobytes()] for v in a.astype(np.float32)], np.uint8)
+        known = np.asarray(dtypes.small_float_values(kind.name), np.float32).view(np.uint32)
+        bits, first = np.unique(known, return_index=True)
+        given = np.ascontiguousarray(a.astype(np.float32)).view(np.uint32)
+        at = np.minimum(np.searchsorted(bits, given), len(bits) - 1)
+        if (bits[at] != given).any():
+            raise ValueError(f"a sample is no {kind.name}")
+        return first[at].astype(np.uint8)
     return a.astype(kind.numpy)
 
 

@@ -29,7 +29,7 @@ FRAMEWORKS = ("numpy", "torch", "jax", "tensorflow", "tf", None)
 def to_spark(values: np.ndarray, kind) -> pa.Array:
     """A decoded frame's samples as one Arrow list item."""
     if kind.name == "uint64":
-        return pa.array([int(v) for v in values], pa.decimal128(20, 0))
+        return pa.array(np.ascontiguousarray(values).astype(np.uint64)).cast(pa.decimal128(20, 0))
     if values.dtype.names:
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[f].astype(np.float32) if values[f].dtype == np.float16 else values[f])) for f in ("re", "im")], ["re", "im"])
     arrow = {"smallint": pa.int16(), "tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}[kind.spark]

@@ -33,7 +33,7 @@ def _indexed(path: str, source) -> pa.RecordBatch:
 
 
 class ContainerIndex(DataSource):
-    """spark.read.format("container_index").load(folder): one row per container, payloads unread."""
+    """spark.read.format("container_index").load(folder): one row per container in the folder or below it, payloads unread."""
 
     @classmethod
     def name(cls) -> str:
@@ -52,7 +52,7 @@ class IndexReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
-            files = sorted(e.path for e in os.scandir(self.path) if e.is_file() and e.name.endswith(self.suffix))
+            files = sorted(os.path.join(top, name) for top, _, names in os.walk(self.path) for name in names if name.endswith(self.suffix))
         else:
             files = [self.path]
         step = max(32, -(-len(files) // 1000))
