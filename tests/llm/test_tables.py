@@ -1,7 +1,11 @@
 """Operators on vectors and URLs, the pipeline, and the queries on the sample tables."""
 
+import hashlib
+import math
 import os
 import random
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -15,8 +19,8 @@ import corpus_pipeline
 from tesserae.llm import urls, vectors
 from tesserae.llm.components import components
 
-from .conftest import make, prose
-from .test_text_operators import linked_plainly, measured_plainly, removed_plainly, shingles_plainly
+from .conftest import LOWER, make, prose
+from .test_text_operators import WORD, linked_plainly, measured_plainly, removed_plainly, shingles_plainly
 from .test_text_operators import plainly as plain_spans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -181,10 +185,117 @@ def test_queries_run_and_match_their_sql(spark):
         got = found[name](spark, SF)
         columns = ", ".join(got.columns)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {columns} FROM ({sql})").fetchall(), key=str)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_suffix_dedup", "op3_bpe", "op5_minhash_dedup", "op7_quality_rules", "op9_lm_scores", "op10_pii"):
-        assert found[name](spark, SF).count() == docs
-    assert {"op2_token_counts", "op4_packing", "op6_vector_dedup", "pipeline"} <= set(found)
+    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {name.split("_")[0] for name in found}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """The documents of the sample tables: texts by id."""
+    return dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+
+
+def answers(spark, name, key="doc_id"):
+    return {r[key]: r for r in __spark_entry__.queries()[name](spark, SF).collect()}
+
+
+def test_op1_equals_brute_force(spark, rows):
+    got = answers(spark, "op1_suffix_dedup")
+    raw = [(i, t.encode()) for i, t in rows.items()]
+    for (i, b), gone in zip(raw, removed_plainly(raw, 50), strict=True):
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_op2_op3_op4_equal_the_tokenizer(spark, rows):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows.items()}
+    got = answers(spark, "op3_bpe")
+    for i, own in ids.items():
+        decoded = tokenizer.decode(own, skip_special_tokens=False).encode()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    counted = dict.fromkeys(ids, 0)
+    for r in __spark_entry__.queries()["op2_token_counts"](spark, SF).collect():
+        counted[r.doc_id] += r.n_tokens
+    assert counted == {i: len(own) for i, own in ids.items()}
+    by_doc, by_sequence, waste = {}, {}, 0
+    for r in __spark_entry__.queries()["op4_packing"](spark, SF).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, own in ids.items():
+        whole, at = np.array([*own, 0], "<u4"), 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(whole), zlib.crc32(whole[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(whole)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        waste += 0 if at & (at - 1) == 0 else 1024 - at
+        assert at <= 1024
+    assert waste <= 0.02 * sum(map(len, ids.values()))
+
+
+def test_op5_equals_brute_force(spark, rows):
+    got = answers(spark, "op5_minhash_dedup")
+    sets = {i: shingles_plainly(t, 4) for i, t in rows.items()}
+    want = linked_plainly(sets, 80)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in rows}
+
+
+def test_op6_equals_brute_force(spark):
+    vecs = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' ORDER BY 1").fetchall()
+    want = {i: (n, c) for (i, _), (n, c) in zip(vecs, vectors_linked_plainly(vecs, 0.9), strict=True)}
+    got = answers(spark, "op6_vector_dedup", "vec_id")
+    found = sum(r.n_links for r in got.values())
+    assert 0.9 * sum(n for n, _ in want.values()) <= found
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    assert np.mean([got[i].component_id == c for i, (_, c) in want.items()]) >= 0.9
+
+
+def test_op7_base_equals_a_plain_version(spark, rows):
+    got = answers(spark, "op7_quality_rules")
+    for i, t in rows.items():
+        want = measured_plainly(t)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_op9_base_equals_a_plain_version(spark, rows):
+    got = answers(spark, "op9_lm_scores")
+    words = {i: [*WORD.findall(t.translate(LOWER)), None] for i, t in rows.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in rows}
+    count = Counter(w for i, line in words.items() if not held[i] for w in line)
+    n, v = sum(count.values()), len(count)
+    for i, line in words.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(line), sum(count[w] > 0 for w in line), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in line), rel=1e-9)
+        assert r.score < 0
+    # A model of whole phrases beats single words on what it has not seen.
+    assert sum(got[i].score - got[i].base_score for i in rows if held[i]) > 0
+
+
+def test_op10_base_equals_a_plain_version(spark, rows):
+    got = answers(spark, "op10_pii")
+    for i, t in rows.items():
+        want = plain_spans(t)
+        told = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == j for _, k, _ in want) for j in range(4)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_page_of_a_listed_site_is_listed(sf):
+    """Whatever ending a table gives the sites."""
+    from tesserae.llm import queries
+
+    hosts = [h for (h,) in duckdb.sql(f"SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM '/root/testdata/{sf}/pages.parquet'").fetchall()]
+    bad = {h.removeprefix("www.").removeprefix("m.").removeprefix("blog.") for h in hosts if any(s in h for s in queries.LISTED_SITES)}
+    assert bad <= set(queries.LISTED_HOSTS)
 
 
 @pytest.mark.parametrize("missing", ["tesserae.llm", "corpus_pipeline"])
