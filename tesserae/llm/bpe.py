@@ -93,7 +93,7 @@ def _shared_prefixes(words: list[bytes]) -> list[int]:
 class TrieBPE:
     """Encoder and decoder for one ``tokenizers`` JSON file with a byte-level BPE model."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         _refuse_others(spec)
@@ -175,7 +175,7 @@ class TrieBPE:
                 before, left = ra, made[left][2]
             else:
                 before, right = rb + 1, made[right][1]
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > 500_000:
             self.stable.clear()
         self.stable[seam] = ok
         return ok
@@ -253,7 +253,7 @@ class TrieBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-def load(path: str, max_words: int = 300_000) -> TrieBPE:
+def load(path: str, max_words: int = 200_000) -> TrieBPE:
     """One encoder per file and Python worker."""
     if path not in _LOADED:
         _LOADED[path] = TrieBPE(path, max_words)

@@ -68,7 +68,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     collect_plans(spark)
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(path)  # native codecs keep memory
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     del df
@@ -77,8 +77,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def collect_plans(spark: SparkSession) -> None:
-    """Let go of the plans of queries that have ended: those that Python still holds, and those in events not yet heard."""
+    """Let go of the plans of queries that have ended: those that Python still holds, those in events not yet heard,
+    and that of the last job, which the scheduler's loop holds until it has seen another."""
     gc.collect()
+    spark.range(0, 1, 1, 1).collect()
     with contextlib.suppress(Py4JError):
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(2000)
     spark.sparkContext._jvm.System.gc()
