@@ -336,7 +336,7 @@ def _scores(parts: int, order: int, relay: Relay) -> Callable:
     return run
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, block_bytes: int = 10 << 20, relay_from: int = 4096) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, block_bytes: int = 8 << 20, relay_from: int = 4096) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10.
 
     held_out: a condition on docs; rows for which it is true are scored but not learnt from. order: words in the longest n-gram.
