@@ -60,7 +60,7 @@ def _printable_bytes() -> dict[str, int]:
 SEEN = 24
 #: Longer words are not kept.
 LONG = 1000
-#: Two ids make one key.
+#: Two ids make one key; the innermost loop spells the number out.
 ID_BITS = 20
 
 
@@ -93,7 +93,7 @@ def _shared_prefixes(words: list[bytes]) -> list[int]:
 class TrieBPE:
     """Encoder and decoder for one ``tokenizers`` JSON file with a byte-level BPE model."""
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         _refuse_others(spec)
@@ -185,6 +185,7 @@ class TrieBPE:
         lengths, packed, table = self.lengths, self.packed, self.table
         go, ends, stable, is_stable = self.go, self.ends, self.stable, self._is_stable
         last, state, before = [-1], [0], b""  # of the open prefixes, by depth
+        add, enter, find, known = last.append, state.append, go.get, stable.get
         texts = sorted(words)  # the order of code points is that of their UTF-8 bytes
         encoded = [t.encode() for t in texts]
         for text, word, same in zip(texts, encoded, _shared_prefixes(encoded), strict=True):
@@ -196,26 +197,30 @@ class TrieBPE:
             at = state[same]
             for depth in range(same, size):
                 b = word[depth]
-                to = go.get(at << 8 | b)
+                to = find(at << 8 | b)
                 at = self._step(at, b) if to is None else to
-                state.append(at)
+                enter(at)
                 for token, long in ends[at]:
                     if long > depth:
-                        last.append(token)
+                        add(token)
                         break
-                    seam = last[depth + 1 - long] << ID_BITS | token
-                    ok = stable.get(seam)
+                    seam = last[depth + 1 - long] << 20 | token
+                    ok = known(seam)
                     if is_stable(seam) if ok is None else ok:
-                        last.append(token)
+                        add(token)
                         break
             token = last[size]
             depth = size - lengths[token]
-            ids = [packed[token]]
-            while depth:
-                token = last[depth]
-                depth -= lengths[token]
-                ids.append(packed[token])
-            table[text] = ids[0] if len(ids) == 1 else b"".join(reversed(ids))
+            if not depth:
+                table[text] = packed[token]
+            else:
+                ids = [packed[token]]
+                while depth:
+                    token = last[depth]
+                    depth -= lengths[token]
+                    ids.append(packed[token])
+                ids.reverse()
+                table[text] = b"".join(ids)
             before = word
 
     def split(self, text: str) -> list[str]:
@@ -253,7 +258,7 @@ class TrieBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-def load(path: str, max_words: int = 200_000) -> TrieBPE:
+def load(path: str, max_words: int = 300_000) -> TrieBPE:
     """One encoder per file and Python worker."""
     if path not in _LOADED:
         _LOADED[path] = TrieBPE(path, max_words)
