@@ -22,9 +22,8 @@ of them; if the pool has too few as well, they reject nothing beyond the base ru
 Cases: a null text counts as empty (no words, so it fails the base rule); a null
 stratum is a stratum; repeated label rows of a document count once (the largest
 label); labels of absent documents and null labels do not count; repeated document
-rows are judged alike; a document at a cutoff is kept; of strata with as many labels the
-smaller name comes first; no documents or no labels give no cutoffs; columns of other
-names pass unread.
+rows are judged alike; a document at a cutoff is kept; no documents or no labels give no
+cutoffs; columns of other names pass unread.
 """
 
 from __future__ import annotations
@@ -32,14 +31,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Words, as_long, bound_batches, column, enter, flat, forget, hashes, mix, pieces, settle
+from .kit import Words, as_long, bound_batches, column, enter, flat, forget, hashes, mix, pieces, settle, split_join
 
 U64 = np.uint64
 WINDOW = 8
@@ -68,6 +66,9 @@ GRID = {
     "long_words": [40 - 1.25 * i for i in range(STEPS)],
     "stutters": [0.95 - 0.04 * i for i in range(STEPS)],
 }
+#: What is known of a stratum: a path chosen by one half of its labels, and where on it a rule rejects; or its cutoffs.
+_VECTORS = pa.list_(pa.list_(pa.int32()))
+PLAN = pa.schema([("__key", pa.string()), ("path", _VECTORS), ("first", _VECTORS), ("__limits", pa.list_(pa.float64()))])
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -195,110 +196,145 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-class Cutoffs(NamedTuple):
-    """Per stratum: what its bound rests on (own or pool), and rules with their cutoffs."""
+def _key(stratum: str) -> Column:
+    """A stratum as a key that is never null: the null stratum is one too."""
+    return F.coalesce(F.concat(F.lit("="), column(stratum).cast("string")), F.lit(""))
 
-    of: dict[str | None, tuple[str, dict[str, float]]]
 
-    def condition(self, stratum: str) -> Column:
-        """No rule rejects. Strata without cutoffs reject nothing."""
-        kept = F.lit(True)
-        for limits, members in self._alike(lambda told: tuple(sorted(told[1].items()))):
-            high = [share(rule) > limits_of for rule in RULES if (limits_of := dict(limits).get(rule[0])) is not None]
-            if high:
-                kept = kept & ~(self._among(stratum, members) & reduce(lambda x, y: x | y, high))
-        return kept
+def _meet(rows: DataFrame, table: DataFrame, how: str, broadcast_bytes: int) -> DataFrame:
+    """Rows with those of a table that has one per __key; a small table is broadcast, with another the rows are
+    exchanged, so that those of a hot stratum can be split."""
+    wide = 16 + sum(8 * (len(RULES) * (STEPS + 4) if name == "first" else len(RULES)) for name in table.columns)
+    few = (table.agg(F.sum(F.octet_length("__key") + wide)).first()[0] or 0) <= broadcast_bytes
+    return rows.join(F.broadcast(table), "__key", how) if few else split_join(rows, table, ["__key"], how)
 
-    def certified(self, stratum: str) -> Column:
-        out = F.lit("none")
-        for kind, members in self._alike(lambda told: told[0]):
-            out = F.when(self._among(stratum, members), F.lit(kind)).otherwise(out)
-        return out
 
-    def _alike(self, what) -> list[tuple]:
-        groups: dict = {}
-        for value, told in self.of.items():
-            groups.setdefault(what(told), []).append(value)
-        return sorted(groups.items(), key=str)
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
-    @staticmethod
-    def _among(stratum: str, members: list[str | None]) -> Column:
-        some = F.coalesce(column(stratum).isin([m for m in members if m is not None]), F.lit(False))
-        return some | column(stratum).isNull() if None in members else some
+
+def _counted(tallies: list[dict] | None, *shape: int) -> np.ndarray:
+    """Counts by their place: each tally has its n last."""
+    out = np.zeros(shape, np.int64)
+    for tally in tallies or ():
+        *at, n = tally.values()
+        out[tuple(at)] += n
+    return out
 
 
-def _paths(row, need: int) -> tuple[bool, list[list[int]]]:
-    """Whether a stratum's path was chosen by half of its labels, and the path: for each vector, how many steps of its
-    grid each rule has gone (0: the rule is not used)."""
-    if row["n"] < FEW * need:
-        return False, [[i + 1] * len(RULES) for i in range(STEPS)]
-    return True, [[sum(row[f"{name}_{i}"] <= s * row["allowed"] for i in range(STEPS)) for name, *_ in RULES] for s in SHARES]
+def _path(rejected: np.ndarray, allowed: float) -> list[list[int]]:
+    """The path that one half of the labels chooses: for each vector, how many steps of its grid each rule has gone
+    (0: the rule is not used)."""
+    return [[int(np.sum(of_rule <= s * allowed)) for of_rule in rejected] for s in SHARES]
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", label: str = "quality", max_false_rejection: float = 0.02, level: float = 0.05, max_strata: int = 1000) -> Cutoffs:
-    """The strictest safe cutoffs of each stratum; rules without one are absent.
+def _limits(path: list[list[int]], rejects: np.ndarray, n: int, limit: float, level: float) -> list[float] | None:
+    """The cutoffs of the last vector before the first that fails (infinite: the rule is not used), if the first holds.
+    Vector j is the first to reject rejects[j] of the n good documents."""
+    best = None
+    for vector, rejected in zip(path, np.cumsum(rejects), strict=False):
+        if tail(int(rejected), n, limit) > level:
+            break
+        best = vector
+    return best and [GRID[name][v - 1] if v else math.inf for (name, *_), v in zip(RULES, best, strict=True)]
+
 
-    What reaches the driver is one row per stratum, for the `max_strata` with the most labelled good documents;
-    any others have no cutoffs.
+def cutoffs(counts: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", label: str = "quality", max_false_rejection: float = 0.02, level: float = 0.05, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """The strictest safe cutoffs: one row for each stratum that has some, with its __key, what its bound rests on
+    (__certified: own or pool) and a cutoff for each of RULES (__limits; infinite for a rule without one).
+
+    Strata may be any number: they stay rows of tables, and what reaches the driver is how many there are and the
+    cutoffs of the pool.
     """
+    spark = counts.sparkSession
     good = labels.where(column(doc_id).isNotNull()).groupBy(column(doc_id).alias("__id")).agg(F.max(column(label)).alias("__label")).where("__label = 1")
     held = counts.where(~base_failed()).join(good, counts[doc_id] == good["__id"], "left_semi")
     # How many steps a rule's cutoffs go until they reject the document (STEPS + 1: none does).
     steps = [F.lit(STEPS + 1) - reduce(lambda x, y: x + y, [(share(rule) > t).cast("int") for t in GRID[rule[0]]]) for rule in RULES]
-    held = settle(held.select(column(stratum).alias("__stratum"), F.pmod(F.xxhash64(column(doc_id), F.lit(7)), F.lit(2)).alias("__half"), F.array(*steps).alias("__steps")))
-    sums = [F.sum(((F.col("__half") == 0) & (F.col("__steps")[r] <= i + 1)).cast("long")).alias(f"{rule[0]}_{i}") for r, rule in enumerate(RULES) for i in range(STEPS)]
-    rows = held.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n"), (max_false_rejection * F.sum(F.lit(1) - F.col("__half"))).alias("allowed"), *sums).orderBy(F.desc("n"), "__stratum").limit(max_strata).collect()
-    if not rows:
-        return Cutoffs({})
-    each = level / len(rows)
+    held = settle(held.select(_key(stratum).alias("__key"), F.pmod(F.xxhash64(column(doc_id), F.lit(7)), F.lit(2)).cast("int").alias("__half"), F.array(*steps).alias("__steps")))
+    sizes = settle(held.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")))
+    each = level / max(1, sizes.count())
     need = least_labels(max_false_rejection, each)
-    pool = [row["__stratum"] for row in rows if row["n"] < need]
-    paths = {row["__stratum"]: _paths(row, need) for row in rows}
-    # The first vector of its stratum's path that rejects a document: the first that has gone far enough for any rule.
-    told = [(value, halved, [[next((j for j, v in enumerate(path) if v[r] >= s), len(path)) for s in range(STEPS + 2)] for r in range(len(RULES))]) for value, (halved, path) in paths.items()]
-    table = held.sparkSession.createDataFrame(told, "of string, halved boolean, first array<array<int>>")
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For a large stratum the path that one half of its labels chooses; for others and the pool, the cutoffs."""
+        enter("quality")
+        for batch in batches:
+            out = []
+            for row in _one_by_one(batch):
+                counted = _counted(row["tallies"], 2, len(RULES) + 1, STEPS + 2)
+                n, path, limits = int(counted[:, 0].sum()), None, None
+                if row["__key"] is not None and n >= FEW * need:
+                    path = _path(np.cumsum(counted[0, :-1], axis=1)[:, 1:-1], max_false_rejection * int(counted[0, 0].sum()))
+                else:  # vector j has gone j + 1 steps with every rule
+                    limits = _limits([[i + 1] * len(RULES) for i in range(STEPS)], counted[:, -1].sum(axis=0)[1:], n, max_false_rejection, each)
+                # The first vector that rejects a document: the first that has gone far enough for any rule.
+                first = path and [[next((j for j, v in enumerate(path) if v[r] >= s), len(path)) for s in range(STEPS + 2)] for r in range(len(RULES))]
+                out.append({"__key": row["__key"], "path": path, "first": first, "__limits": limits})
+            yield pa.RecordBatch.from_pylist(out, PLAN)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cutoffs of a large stratum, from the other half of its labels."""
+        enter("quality")
+        for batch in batches:
+            out = []
+            for row in _one_by_one(batch):
+                rejects = _counted(row["tallies"], len(row["path"]) + 1)
+                out.append({"__key": row["__key"], "__limits": _limits(row["path"], rejects, int(rejects.sum()), max_false_rejection, each)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([PLAN.field("__key"), PLAN.field("__limits")]))
+
+    # What each rule rejects after so many steps, and what the strictest does; strata with few labels have no key: the pool.
+    named = _meet(held, sizes.where(F.col("__n") >= need).select("__key", F.lit(True).alias("own")), "left", broadcast_bytes)
+    every = F.concat("__steps", F.array(F.array_min("__steps")))
+    tallies = named.select(F.when(F.col("own"), F.col("__key")).alias("__key"), "__half", F.posexplode(every).alias("rule", "step"))
+    tallies = tallies.groupBy("__key", "__half", "rule", "step").agg(F.count(F.lit(1)).alias("n")).groupBy("__key").agg(F.collect_list(F.struct("__half", "rule", "step", "n")).alias("tallies"))
+    plans = settle(tallies.mapInArrow(plan, "__key string, path array<array<int>>, first array<array<int>>, __limits array<double>"))
+    halved = plans.where("path IS NOT NULL")
+    judged = _meet(held.where("__half = 1"), halved.select("__key", "first"), "inner", broadcast_bytes)
     at = F.array_min(F.transform(F.col("__steps"), lambda s, r: F.col("first")[r][s]))
-    judged = held.join(F.broadcast(table), held["__stratum"].eqNullSafe(table["of"])).where("NOT halved OR __half = 1")
-    hits = {value: [0] * (len(path) + 1) for value, (_, path) in paths.items()}
-    for row in judged.groupBy("of", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
-        hits[row["of"]][row["at"]] += row["n"]
-    groups = [("own", [value]) for value in hits if value not in pool] + ([("pool", pool)] if pool else [])
-    found = {}
-    for kind, members in groups:
-        path = paths[members[0]][1]
-        n, rejected, best = sum(sum(hits[m]) for m in members), 0, None
-        for j, vector in enumerate(path):
-            rejected += sum(hits[m][j] for m in members)
-            if tail(rejected, n, max_false_rejection) > each:
-                break
-            best = vector
-        if best:
-            limits = {name: GRID[name][v - 1] for (name, *_), v in zip(RULES, best, strict=True) if v}
-            found |= {m: (kind, limits) for m in members}
-    forget(held)
-    return Cutoffs(found)
-
-
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **limits) -> DataFrame:
+    tallies = judged.groupBy("__key", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).groupBy("__key").agg(F.collect_list(F.struct("at", "n")).alias("tallies"))
+    tested = halved.select("__key", "path").join(tallies, "__key", "left").mapInArrow(test, "__key string, __limits array<double>")
+    found = plans.where("path IS NULL AND __key IS NOT NULL").select("__key", "__limits").union(tested).select("__key", F.lit("own").alias("__certified"), "__limits")
+    pool = plans.where("__key IS NULL AND __limits IS NOT NULL").first()
+    if pool:
+        found = found.union(sizes.where(F.col("__n") < need).select("__key", F.lit("pool"), F.array(*map(F.lit, pool["__limits"]))))
+    found = settle(found.where("__limits IS NOT NULL"))
+    forget(held, sizes, plans)
+    return found
+
+
+def _with_limits(rows: DataFrame, found: DataFrame, stratum: str, broadcast_bytes: int) -> DataFrame:
+    """Rows with __certified and __limits of their stratum; those without cutoffs have infinite ones, which reject nothing."""
+    told = _meet(rows.withColumn("__key", _key(stratum)), found, "left", broadcast_bytes)
+    endless = F.array(*[F.lit(math.inf)] * len(RULES))
+    return told.select(*map(column, rows.columns), F.coalesce("__certified", F.lit("none")).alias("__certified"), F.coalesce("__limits", endless).alias("__limits"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", broadcast_bytes: int = 8 << 20, **limits) -> DataFrame:
     """One row per document: id, stratum, counts, base_failed, certified and kept."""
     counts = settle(features(docs, doc_id, text, stratum))
-    found = cutoffs(counts, labels, doc_id, stratum, **limits)
-    return counts.withColumn("base_failed", base_failed()).withColumn("certified", found.certified(stratum)).withColumn("kept", ~F.col("base_failed") & found.condition(stratum))
+    found = cutoffs(counts, labels, doc_id, stratum, broadcast_bytes=broadcast_bytes, **limits)
+    high = reduce(lambda x, y: x | y, [share(rule) > F.col("__limits")[r] for r, rule in enumerate(RULES)])
+    told = _with_limits(counts, found, stratum, broadcast_bytes)
+    return told.select(*map(column, counts.columns), base_failed().alias("base_failed"), F.col("__certified").alias("certified"), (~base_failed() & ~high).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **limits) -> DataFrame:
-    """The documents that are kept, with all their columns: counts are taken twice rather than shuffling texts."""
-    found = cutoffs(features(docs, doc_id, text, stratum), labels, doc_id, stratum, **limits).of
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", broadcast_bytes: int = 8 << 20, **limits) -> DataFrame:
+    """The documents that are kept, with all their columns: counts are taken twice, and texts are shuffled only if
+    the strata with cutoffs are too many for a broadcast."""
+    found = cutoffs(features(docs, doc_id, text, stratum), labels, doc_id, stratum, broadcast_bytes=broadcast_bytes, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality")
         for batch in batches:
             counts = _counts(batch, text)
-            strata = batch.column(stratum).cast(pa.string()).to_pylist()
+            most = batch.column("__limits").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RULES))
             failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
-            for name, top, bottom in RULES:
+            for r, (_, top, bottom) in enumerate(RULES):
                 rate = counts[top] / np.maximum(counts[bottom], 1) * (counts[bottom] > 0)
-                failed |= rate > np.array([found[s][1].get(name, math.inf) if s in found else math.inf for s in strata])
-            yield batch.filter(pa.array(~failed))
+                failed |= rate > most[:, r]
+            yield batch.select(docs_columns).filter(pa.array(~failed))
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_columns = docs.columns
+    return _with_limits(docs, found, stratum, broadcast_bytes).drop("__certified").mapInArrow(run, docs.schema)

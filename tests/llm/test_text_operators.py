@@ -393,6 +393,24 @@ def test_small_strata_share_a_pool(spark):
     assert sum(r.kept for r in rows) >= 294
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {r.doc_id for r in rows if r.kept}
 
+def test_strata_may_be_any_number(spark):
+    """A stratum that halves its labels, one that does not, and 1,100 with one good document each, none of which is left out."""
+    rng = random.Random(9)
+    good = ["l0"] * 420 + ["l1"] * 130 + [f"s{i}" for i in range(1100)]
+    bad = [*["l0", "l1"] * 10, *(f"s{i}" for i in range(1100))]
+    texts = [prose(rng, 25) for _ in good] + [" ".join(f"{w}#" for w in prose(rng, 25).split()) for _ in bad]
+    lang = dict(enumerate([*good, *bad]))
+    docs = spark.createDataFrame([(i, t, lang[i]) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i in lang], "doc_id bigint, quality int")
+    rows = quality.judge(docs, labels, max_false_rejection=0.1).collect()
+    assert Counter((r.lang[0], r.certified) for r in rows) == {("l", "own"): 570, ("s", "pool"): 2200}
+    assert {r.kept for r in rows if r.doc_id >= len(good)} == {False}
+    assert sum(r.kept for r in rows) >= 0.9 * len(good)
+    assert {r.doc_id for r in quality.keep_good(docs, labels, max_false_rejection=0.1).collect()} == {r.doc_id for r in rows if r.kept}
+    exchanged = {"max_false_rejection": 0.1, "broadcast_bytes": 0}
+    assert sorted(quality.judge(docs, labels, **exchanged).collect()) == sorted(rows)
+    assert {r.doc_id for r in quality.keep_good(docs, labels, **exchanged).collect()} == {r.doc_id for r in rows if r.kept}
+
 
 # ---- 9 language model ----
 
