@@ -64,13 +64,18 @@ def pack_counts(counts: np.ndarray) -> tuple[int, int, bytes]:
     return least, bits, np.packbits(np.unpackbits(spread, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
 
 
+#: Counts that are unpacked at a time, a multiple of eight.
+CHUNK = 1 << 16
+
+
 def unpack_counts(least: int, bits: int, packed: bytes, frames: int) -> np.ndarray:
-    if not bits:
-        return np.full(frames, least, np.int64)
-    rows = np.unpackbits(np.frombuffer(packed, np.uint8), count=frames * bits, bitorder="little").reshape(frames, bits)
-    wide = np.zeros((frames, 32), np.uint8)
-    wide[:, :bits] = rows
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64) + least
+    out = np.full(frames, least, np.int64)
+    for a in range(0, frames if bits else 0, CHUNK):
+        n = min(CHUNK, frames - a)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :bits] = np.unpackbits(np.frombuffer(packed, np.uint8, (n * bits + 7) // 8, a * bits // 8), count=n * bits, bitorder="little").reshape(n, bits)
+        out[a : a + n] += np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    return out
 
 
 @dataclass(frozen=True)
@@ -107,8 +112,12 @@ def encode_header(grid: Grid, counts) -> bytes:
     return RECORD.pack(MAGIC, VERSION, grid.width, grid.height, grid.tile_width, grid.tile_length, grid.bands, grid.kind.bits, grid.kind.sample_format, unit, least, bits) + packed
 
 
-def parse_header(blob: bytes) -> Header:
-    """The header that a blob holds; nothing is expanded before its size is known to be sound."""
+def parse_header(blob: bytes, empty: bool = False, most: int | None = MAX_LISTED) -> Header:
+    """The header that a blob holds; nothing is expanded before its size is known to be sound.
+
+    A container's frames have bytes, and an index from elsewhere lists `most` frames of unequal size. Rows of a table as
+    frames may have none (empty), and may be any number (most=None).
+    """
     if len(blob) < HEADER_BYTES:
         raise HeaderError(TOO_SHORT)
     magic, version, width, height, tw, tl, bands, bits, form, unit, least, count_bits = RECORD.unpack_from(blob)
@@ -134,9 +143,9 @@ def parse_header(blob: bytes) -> Header:
         raise HeaderError(BAD_WIDTH)
     if len(blob) != HEADER_BYTES + (frames * count_bits + 7) // 8:
         raise HeaderError(BAD_LENGTH)
-    if count_bits and frames > MAX_LISTED:
+    if count_bits and most is not None and frames > most:
         raise HeaderError(TOO_MANY)
-    if not least:
+    if not least and not empty:
         raise HeaderError(EMPTY_FRAME)
     grid = Grid(bands, height, width, tw, tl, UNITS[unit], kind)
     if not count_bits:
@@ -146,7 +155,8 @@ def parse_header(blob: bytes) -> Header:
     counts = unpack_counts(least, count_bits, blob[HEADER_BYTES:], frames)
     if counts.max() > MAX_FRAMES:
         raise HeaderError(COUNT_OVERFLOW)
-    if encode_header(grid, counts)[23:] != blob[23:]:
+    spare = frames * count_bits % 8
+    if counts.min() != least or int(counts.max() - least).bit_length() != count_bits or spare and blob[-1] >> spare:
         raise HeaderError(NOT_CANONICAL)
     return Header(grid, least, count_bits, counts)
 
@@ -195,15 +205,15 @@ FIELDS = "bands int, height bigint, width bigint, tile_width int, tile_length in
 PARSED = f"struct<ok:boolean,problem:int,message:string,{FIELDS.replace(' ', ':').replace(',:', ',')}>"
 
 
-def parsed(headers: DataFrame, header: str = "header", strict: bool = False) -> DataFrame:
-    """Adds the struct `parsed`: the header's fields, or what is wrong with it (strict: an error at run time)."""
+def parsed(headers: DataFrame, header: str = "header", strict: bool = False, empty: bool = False, most: int | None = MAX_LISTED) -> DataFrame:
+    """Adds the struct `parsed`: the header's fields, or what is wrong with it (strict: an error at run time); empty, most: as for `parse_header`."""
     ship(headers.sparkSession)
     names = headers.columns
     keys = [f.split()[0] for f in FIELDS.split(", ")]
 
     def one(blob) -> dict:
         try:
-            h = parse_header(bytes(blob or b""))
+            h = parse_header(bytes(blob or b""), empty, most)
         except HeaderError as e:
             if strict:
                 raise
@@ -253,8 +263,11 @@ def packed_bytes(frames: DataFrame, plan: DataFrame, by: list[str], index: str =
 def packed_hex(frames: DataFrame, plan: DataFrame, by: list[str], index: str = "frame_index", count: str = "byte_count") -> DataFrame:
     """Per image the packed residuals as hex: (by, packed). Images of equal frames have none."""
     text = F.array_join(F.transform("values", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
-    parts = packed_groups(frames, plan, by, index, count).select(*by, F.struct("part", text.alias("text")).alias("s"))
-    return parts.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "").alias("packed"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "")
+    # Runs of parts are joined first: an image is gathered as a few long strings instead of very many short ones.
+    parts = packed_groups(frames, plan, by, index, count).select(*by, div(F.col("part"), 4096).alias("run"), F.struct("part", text.alias("text")).alias("s"))
+    runs = parts.groupBy(*by, "run").agg(joined.alias("text")).select(*by, F.struct("run", "text").alias("s"))
+    return runs.groupBy(*by).agg(joined.alias("packed"))
 
 
 def little_endian_hex(value: Column, size: int) -> Column:

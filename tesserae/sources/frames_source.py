@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import FormatError
-from ..functions.grid import Grid
+from ..functions.grid import MAX_LISTED, Grid
 from ..operators.header import parse_header
 from ..ship import ship
 from .container import Reader, index
@@ -140,10 +140,10 @@ def wanted(images: DataFrame, b=None, y=None, x=None) -> tuple[int, int]:
     return row[0] or 0, int(row[1] or 0)
 
 
-def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
+def planned(images: DataFrame, b=None, y=None, x=None, empty: bool = False, most: int | None = MAX_LISTED) -> DataFrame:
     """The frames that a request needs of each image: (n, frame_index, row, col, band, offset, length), payloads unread.
 
-    images: n and header, and whatever the payload reader needs. Headers are parsed and
+    images: n and header, and whatever the payload reader needs; empty, most: as for `parse_header`. Headers are parsed and
     pruned in one step, so frames outside the window never become rows; an image's frames
     come in batches, so that memory does not grow with their number.
     """
@@ -155,23 +155,24 @@ def planned(images: DataFrame, b=None, y=None, x=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, blob in enumerate(batch.column("header").to_pylist()):
-                h = parse_header(bytes(blob))
-                g = h.grid
+                h = parse_header(bytes(blob), empty, most)
+                g, end = h.grid, h.end
                 r = Request.of(g, b, y, x)
                 (r0, r1), (c0, c1) = r.rows, r.cols
                 among = np.array(sorted(set(r.all_bands))) if g.unit == "tile" else np.zeros(1, np.int64)
                 starts = h.starts()
-                total, across, own = (r1 - r0) * (c1 - c0) * len(among), c1 - c0, batch.slice(i, 1)
-                most = max(1, min(BATCH_FRAMES, BATCH_BYTES // max(1, own.select(names).nbytes if names else 1)))
-                for a in range(0, total, most):
-                    k = np.arange(a, min(a + most, total))
+                total, across = (r1 - r0) * (c1 - c0) * len(among), c1 - c0
+                own = [batch.column(c).slice(i, 1) for c in names]  # without the header, which may be large
+                step = max(1, min(BATCH_FRAMES, BATCH_BYTES // max(1, sum(v.nbytes for v in own))))
+                for a in range(0, total, step):
+                    k = np.arange(a, min(a + step, total))
                     spot, band = k // len(among), among[k % len(among)]
                     row, col = r0 + spot // across, c0 + spot % across
                     at = (row * g.across + col) * g.per_position + band
                     bands = pa.array(band, pa.int32()) if g.unit == "tile" else pa.nulls(len(k), pa.int32())
-                    same = own.take(pa.array(np.zeros(len(k), np.int64)))
+                    first = pa.array(np.zeros(len(k), np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [*(same.column(c) for c in names), pa.array(at, pa.int64()), pa.array(row, pa.int32()), pa.array(col, pa.int32()), bands, pa.array(h.offset(at, starts), pa.int64()), pa.array(h.count(at), pa.int64()), pa.array(np.full(len(k), h.end), pa.int64())],
+                        [*(v.take(first) for v in own), pa.array(at, pa.int64()), pa.array(row, pa.int32()), pa.array(col, pa.int32()), bands, pa.array(h.offset(at, starts), pa.int64()), pa.array(h.count(at), pa.int64()), pa.array(np.full(len(k), end), pa.int64())],
                         [*names, "frame_index", "row", "col", "band", "offset", "length", "data_end"],
                     )
 
