@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, div, edge, frame_index, label
 from ..plans.layout import Layout
-from ..plans.selection import Request, ordered
+from ..plans.selection import MOST_BROADCAST, Request, ordered
 
 
 def cut(pixels: DataFrame, grid: Grid, by: list[str] = [], value: str = "v") -> DataFrame:  # noqa: B006
@@ -65,6 +65,21 @@ def place(frames: DataFrame, request: Request, keys: list[str] = []) -> DataFram
     return out.select(*keys, "b", "y", "x", "v")
 
 
+def filled(pixels: DataFrame, holes: DataFrame, grid: Grid, value: str = "v") -> DataFrame:
+    """Pixels (b, y, x, value) with zeros at the holes (y, x) in all bands, so that every frame is whole."""
+    bands = F.explode(F.sequence(F.lit(0), F.lit(grid.bands - 1))).alias("b")
+    return pixels.select("b", "y", "x", value).unionByName(holes.select(bands, "y", "x", F.lit(0).cast(pixels.schema[value].dataType).alias(value)))
+
+
+def unfilled(pixels: DataFrame, holes: DataFrame, y: int = 0, x: int = 0) -> DataFrame:
+    """What was read from row y and column x on, without the holes: a few are broadcast, very many are joined."""
+    count = holes.limit(MOST_BROADCAST + 1).count()
+    if not count:
+        return pixels
+    near = holes.select((F.col("y") - y).alias("y"), (F.col("x") - x).alias("x"))
+    return pixels.join(F.broadcast(near) if count <= MOST_BROADCAST else near, ["y", "x"], "left_anti").select(pixels.columns)
+
+
 def window(pixels: DataFrame, request: Request, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """The same selection on pixels that were never cut."""
     (y0, y1), (x0, x1) = request.y, request.x

@@ -77,3 +77,13 @@ def test_more_frames_than_an_index_from_elsewhere_may_list():
     with pytest.raises(H.HeaderError, match="more frames than the safety limit"):
         H.parse_header(blob)
     assert np.array_equal(H.parse_header(blob, most=None).counts, counts)
+
+
+@pytest.mark.parametrize("name", ["r1_read_a_window", "r9_cells_opened_once"])
+@pytest.mark.parametrize("vectors", [406, 431, 450])
+def test_vectors_that_end_within_a_row(spark, tmp_path, name, vectors):
+    """A last row of 6 of 25, in a tile of its own or not, and whole rows, with a place in the middle that no vector has."""
+    ids = [i for i in range(vectors) if i != 107]
+    values = np.random.default_rng(2).normal(size=(len(ids), 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(values), pa.list_(pa.float32())), "label": ids}), tmp_path / "embeddings.parquet")
+    assert same_as_sql(spark, tmp_path, name)
